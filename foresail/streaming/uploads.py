@@ -15,18 +15,18 @@ from foresail.operators.series import monthly_revenue
 from foresail.schema import LEAD_COLUMNS
 from foresail.sources.csv_leads import data_lines, split_cells, typed_leads
 
-_UPLOAD = r"(\d{8}_\d{6})"
+_UPLOAD = r".*(\d{8}_\d{6})"
 
 
 def upload_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Stream of parsed lead rows with the time stamp in their file's name (``..._yyyyMMdd_HHmmss...``).
+    """Stream of parsed lead rows with the time stamp in their file's path (``..._yyyyMMdd_HHmmss...``).
 
     Files carry the lead columns in schema order; header, blank and comment lines are skipped."""
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.load(landing).select(
-        "value", F.regexp_extract("_metadata.file_name", _UPLOAD, 1).alias("uploaded"))
+        "value", F.regexp_extract("_metadata.file_path", _UPLOAD, 1).alias("uploaded"))
     rows = data_lines(lines).filter(~F.ltrim("value").startswith(f"{LEAD_COLUMNS[0]},"))
     return typed_leads(split_cells(rows, LEAD_COLUMNS, ["uploaded"]), ["uploaded"])
 
