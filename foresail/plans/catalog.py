@@ -651,7 +651,7 @@ def f7_supplier_trend(spark, sf):
 
 @query
 def f8_rolling_origin_backtest(spark, sf):
-    return rounded(T.rolling_origin(_history(spark, sf)).withColumn("h", F.col("h").cast("long")), 2)
+    return rounded(T.rolling_origin(_history(spark, sf)).withColumn("h", F.col("h").cast("long")), forecast=0)
 
 
 @query

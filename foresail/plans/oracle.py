@@ -130,11 +130,11 @@ _drop_anomalous("hist", "post")
 _drop_anomalous("filled", "filled_post")
 
 _cte("profile", "post", """
-  SELECT series_id, months, last_month, last_revenue, hist_mean, hist_std, hist_max, plain_mean_6, plain_mean_12,
+  SELECT series_id, "months", last_month, last_revenue, hist_mean, hist_std, hist_max, plain_mean_6, plain_mean_12,
          CASE WHEN coalesce(last_revenue < 0.3*rest6, false) THEN rest6 ELSE plain_mean_6 END recent_mean_6,
          CASE WHEN coalesce(last_revenue < 0.3*rest12, false) THEN rest12 ELSE plain_mean_12 END recent_mean_12,
          CASE WHEN coalesce(last_revenue < 0.3*rest12, false) THEN rest_std ELSE std12 END recent_std_12
-  FROM (SELECT series_id, count(*) months, max(month) last_month, max(revenue) FILTER (e=1) last_revenue,
+  FROM (SELECT series_id, count(*) AS months, max(month) last_month, max(revenue) FILTER (e=1) last_revenue,
      avg(revenue) hist_mean, stddev_samp(revenue) hist_std, max(revenue) hist_max,
      avg(revenue) FILTER (e<=6) plain_mean_6, avg(revenue) FILTER (e<=12) plain_mean_12,
      avg(revenue) FILTER (e<=6 AND e>1) rest6, avg(revenue) FILTER (e<=12 AND e>1) rest12,
@@ -536,7 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "d26_forecast_vs_history": _sql("points", """SELECT series_id, round(f, 2) AS forecast_mean, round(h, 2) AS historical_mean, round((f-h)/h*100, 6) AS growth_pct
             FROM (SELECT series_id, avg(revenue) FILTER (type='forecast') f, avg(revenue) FILTER (type='historical') h FROM points GROUP BY 1)"""),
         "d27_quarterly_forecast": _sql("fcn", """SELECT q.series_id, quarter, round(total, 2) AS total, round(average, 2) AS average, round((q4-q1)/q1*100, 6) AS q1_to_q4_pct FROM
-            (SELECT series_id, CAST((i+2)//3 AS INT) quarter, sum(forecast) total, avg(forecast) average FROM fcn GROUP BY 1, 2) q
+            (SELECT series_id, CAST((i+2)//3 AS INT) AS quarter, sum(forecast) total, avg(forecast) average FROM fcn GROUP BY 1, 2) q
             JOIN (SELECT series_id, avg(forecast) FILTER (i<=3) q1, avg(forecast) FILTER (i>9) q4 FROM fcn GROUP BY 1) g ON q.series_id=g.series_id"""),
         "d28_peak_trough": _sql("fc", """SELECT series_id, arg_max(month, forecast) AS peak_month, round(max(forecast), 2) AS peak_value,
             arg_min(month, forecast) AS trough_month, round(min(forecast), 2) AS trough_value FROM fc GROUP BY 1"""),
@@ -563,7 +563,7 @@ def oracle_sql() -> dict[str, str]:
         "e4_drop_collapsed_last_month": _sql("hist", f"SELECT {series} FROM hist"),
         "e4_supplier_series": _sql("sup_hist", f"SELECT {series} FROM sup_hist"),
         "e5_drop_anomalous_last_month": _sql("filled_post", f"SELECT {series} FROM filled_post"),
-        "e6_recent_stats": _sql("profile", f"""SELECT series_id, months, last_month, {_r('last_revenue, hist_mean, hist_std, hist_max, plain_mean_6, plain_mean_12, '
+        "e6_recent_stats": _sql("profile", f"""SELECT series_id, "months", last_month, {_r('last_revenue, hist_mean, hist_std, hist_max, plain_mean_6, plain_mean_12, '
             'recent_mean_6, recent_mean_12, recent_std_12', 3)} FROM profile"""),
         "e7_growth_mode": _sql("tp_growth", "SELECT series_id, n AS months, logistic, round(CASE WHEN logistic THEN cap END, 4) AS cap FROM tp_growth"),
         "e8_month_over_month": _sql("fcn", """SELECT series_id, month, round(forecast, 2) AS forecast, round(CASE WHEN prev IS NOT NULL THEN
@@ -595,7 +595,7 @@ def oracle_sql() -> dict[str, str]:
         "f7_seasonal_trend": _sql("th_fc", f"SELECT {bands} FROM th_fc"),
         "f7_seasonal_trend_linear": _sql("thl_fc", f"SELECT {bands} FROM thl_fc"),
         "f7_supplier_trend": _sql("ts_fc", f"SELECT {bands} FROM ts_fc"),
-        "f8_rolling_origin_backtest": _sql("backtest", "SELECT series_id, cutoff, h, month, round(forecast, 2) AS forecast, round(actual, 2) AS actual FROM backtest"),
+        "f8_rolling_origin_backtest": _sql("backtest", "SELECT series_id, cutoff, h, month, round(forecast, 0) AS forecast, round(actual, 4) AS actual FROM backtest"),
         "f9_combine_ensemble": _sql("ensx", f"SELECT {bands}, 'ensemble' AS method FROM ensx"),
         "f10_forecast_12_months": _sql("fc", f"SELECT {bands}, 'ensemble' AS method FROM fc"),
         "f10_forecast_with_scores": _sql("fin3_fc", f"SELECT {bands}, 'ensemble' AS method FROM fin3_fc"),
