@@ -41,40 +41,44 @@ def clip_non_negative(forecast: DataFrame) -> DataFrame:
 
 def cap_outliers(forecast: DataFrame) -> DataFrame:
     """Limit the forecast to three times its own median (when that is positive)."""
-    median = F.median("forecast").over(_p())
-    return (forecast.withColumn("_m", median)
-            .withColumn("forecast", F.when((F.count(F.lit(1)).over(_p()) > 1) & (F.col("_m") > 0),
-                                           F.least("forecast", F.col("_m") * 3)).otherwise(F.col("forecast")))
-            .drop("_m"))
+    capped = F.when((F.col("_n") > 1) & (F.col("_m") > 0), F.least("forecast", F.col("_m") * 3))
+    return (forecast.withColumns({"_m": F.median("forecast").over(_p()), "_n": F.count(F.lit(1)).over(_p())})
+            .select(*_replaced(forecast, forecast=F.coalesce(capped, F.col("forecast")))))
+
+
+def _replaced(df: DataFrame, **new: Column) -> list[Column]:
+    """All columns of ``df`` with some of them replaced: one projection, helpers left out."""
+    return [new[c].alias(c) if c in new else F.col(c) for c in df.columns]
 
 
 def cap_to_history(forecast: DataFrame, recent_mean: str = "recent_mean_6") -> DataFrame:
     """Clip to max(1.5 x history maximum, 2 x recent mean) and the upper bound to 1.5 x that,
     in series where any month exceeds it."""
     ceiling = F.greatest(F.col("hist_max") * 1.5, F.col(recent_mean) * 2)
-    over = F.coalesce(F.max("forecast").over(_p()) > ceiling, F.lit(False))
-    return (forecast.withColumn("_over", over)
-            .withColumn("forecast", F.when(F.col("_over"), F.least("forecast", ceiling)).otherwise(F.col("forecast")))
-            .withColumn("upper", F.when(F.col("_over"), F.least("upper", ceiling * 1.5)).otherwise(F.col("upper")))
-            .drop("_over"))
+    over = F.coalesce(F.col("_top") > ceiling, F.lit(False))
+    return forecast.withColumn("_top", F.max("forecast").over(_p())).select(*_replaced(
+        forecast,
+        forecast=F.when(over, F.least("forecast", ceiling)).otherwise(F.col("forecast")),
+        upper=F.when(over, F.least("upper", ceiling * 1.5)).otherwise(F.col("upper"))))
 
 
-def _rebound(forecast: DataFrame, when: Column, low: float, high: float) -> DataFrame:
-    f = F.col("forecast")
-    return (forecast.withColumn("lower", F.when(when, clip(f * low, low=0)).otherwise(F.col("lower")))
-            .withColumn("upper", F.when(when, clip(f * high, low=0)).otherwise(F.col("upper"))))
+def _rebound(forecast: DataFrame, value: Column, when: Column, low: float, high: float) -> list[Column]:
+    """The new forecast and, where ``when`` holds, bounds relative to it."""
+    return _replaced(
+        forecast, forecast=value,
+        lower=F.when(when, clip(value * low, low=0)).otherwise(F.col("lower")),
+        upper=F.when(when, clip(value * high, low=0)).otherwise(F.col("upper")))
 
 
 def dampen_start(forecast: DataFrame, recent_mean: str = "plain_mean_6") -> DataFrame:
     """Pull a forecast that starts over 1.3 x the recent mean back towards it, less and less."""
     mean = F.col(recent_mean)
-    high = F.coalesce(F.first("forecast").over(_w()) > mean * 1.3, F.lit(False))
-    share = 0.7 + 0.3 * (F.col("_i") - 1) / F.count(F.lit(1)).over(_p())
-    marked = forecast.withColumn("_i", position()).withColumn("_high", high).withColumn("_d", share)
-    damped = marked.withColumn(
-        "forecast", F.when(F.col("_high"), F.col("forecast") * F.col("_d") + mean * (1 - F.col("_d")))
-        .otherwise(F.col("forecast")))
-    return _rebound(damped, F.col("_high"), 0.75, 1.25).drop("_i", "_high", "_d")
+    high = F.coalesce(F.col("_first") > mean * 1.3, F.lit(False))
+    share = 0.7 + 0.3 * (F.col("_i") - 1) / F.col("_n")
+    value = F.when(high, F.col("forecast") * share + mean * (1 - share)).otherwise(F.col("forecast"))
+    return (forecast.withColumns({"_i": position(), "_first": F.first("forecast").over(_w()),
+                                  "_n": F.count(F.lit(1)).over(_p())})
+            .select(*_rebound(forecast, value, high, 0.75, 1.25)))
 
 
 def _draw(i: Column) -> Column:
@@ -83,18 +87,17 @@ def _draw(i: Column) -> Column:
     return F.coalesce(F.try_element_at(z, i), F.lit(0.0))
 
 
-def _many() -> Column:
-    return F.count(F.lit(1)).over(_p()) > 1
+def _numbered(forecast: DataFrame) -> DataFrame:
+    return forecast.withColumns({"_i": position(), "_n": F.count(F.lit(1)).over(_p())})
 
 
 def component_variation(forecast: DataFrame) -> DataFrame:
     """Scale each month by 1 + half the history's variation x its draw, within 0.7..1.3."""
     cv = F.coalesce(ratio(F.col("hist_std"), F.col("hist_mean"), 0.3), F.lit(0.3))
     factor = clip(1 + 0.5 * cv * _draw(F.col("_i")), 0.7, 1.3)
-    on = F.col("_many") & F.col("hist_mean").isNotNull()
-    varied = (forecast.withColumn("_i", position()).withColumn("_many", _many())
-              .withColumn("forecast", F.when(on, F.col("forecast") * factor).otherwise(F.col("forecast"))))
-    return _rebound(varied, on, 0.75, 1.25).drop("_i", "_many")
+    on = (F.col("_n") > 1) & F.col("hist_mean").isNotNull()
+    value = F.when(on, F.col("forecast") * factor).otherwise(F.col("forecast"))
+    return _numbered(forecast).select(*_rebound(forecast, value, on, 0.75, 1.25))
 
 
 def recent_variation() -> Column:
@@ -105,11 +108,9 @@ def recent_variation() -> Column:
 def ensemble_variation(forecast: DataFrame) -> DataFrame:
     """Scale each month by 1 + 0.4 x recent variation x its draw, within +-25 %."""
     swing = clip(0.4 * recent_variation() * _draw(F.col("_i")), -0.25, 0.25)
-    on = F.col("_many") & F.col("last_revenue").isNotNull()
-    return (forecast.withColumn("_i", position()).withColumn("_many", _many())
-            .withColumn("forecast", F.when(on, clip(F.col("forecast") * (1 + swing), low=0))
-                        .otherwise(F.col("forecast")))
-            .drop("_i", "_many"))
+    on = (F.col("_n") > 1) & F.col("last_revenue").isNotNull()
+    value = F.when(on, clip(F.col("forecast") * (1 + swing), low=0)).otherwise(F.col("forecast"))
+    return _numbered(forecast).select(*_replaced(forecast, forecast=value))
 
 
 def ewm_smooth(forecast: DataFrame, alpha: float = 0.7) -> DataFrame:
@@ -119,31 +120,29 @@ def ewm_smooth(forecast: DataFrame, alpha: float = 0.7) -> DataFrame:
     upto = F.collect_list("forecast").over(_w().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fold = F.aggregate(F.slice("_x", 2, F.size("_x")), F.element_at("_x", 1),
                        lambda y, x: x * alpha + y * (1 - alpha))
-    return forecast.withColumn("_x", upto).withColumn("smoothed", fold).drop("_x")
+    return forecast.withColumn("_x", upto).select(*forecast.columns, fold.alias("smoothed"))
 
 
 def interval_rebuild(forecast: DataFrame) -> DataFrame:
     """Bounds at forecast x (1 +- recent variation), not below zero."""
     cv = recent_variation()
-    on = F.col("last_revenue").isNotNull() & F.col("_many")
-    return (forecast.withColumn("_many", _many())
-            .withColumn("lower", F.when(on, clip(F.col("forecast") * (1 - cv), low=0)).otherwise(F.col("lower")))
-            .withColumn("upper", F.when(on, F.col("forecast") * (1 + cv)).otherwise(F.col("upper")))
-            .drop("_many"))
+    on = F.col("last_revenue").isNotNull() & (F.col("_n") > 1)
+    return forecast.withColumn("_n", F.count(F.lit(1)).over(_p())).select(*_replaced(
+        forecast,
+        lower=F.when(on, clip(F.col("forecast") * (1 - cv), low=0)).otherwise(F.col("lower")),
+        upper=F.when(on, F.col("forecast") * (1 + cv)).otherwise(F.col("upper"))))
 
 
 def transition_blend(forecast: DataFrame) -> DataFrame:
     """Lead in from the last month when the first forecast exceeds it by more than 30 %:
     months 0, 1, 2 carry 20, 40, 60 % of the forecast. Bounds of all months are rebuilt."""
     last = F.col("last_revenue")
-    first = F.first("forecast").over(_w())
-    jump = F.coalesce(F.when(last > 0, first / last > 1.3).otherwise(last.isNotNull()), F.lit(False))
+    jump = F.coalesce(F.when(last > 0, F.col("_first") / last > 1.3).otherwise(last.isNotNull()), F.lit(False))
     share = 0.2 * F.col("_i")
-    blended = (forecast.withColumn("_i", position()).withColumn("_jump", jump)
-               .withColumn("forecast", F.when(F.col("_jump") & (F.col("_i") <= 3),
-                                              last * (1 - share) + F.col("forecast") * share)
-                           .otherwise(F.col("forecast"))))
-    return _rebound(blended, F.col("_jump"), 0.7, 1.3).drop("_i", "_jump")
+    value = F.when(jump & (F.col("_i") <= 3), last * (1 - share) + F.col("forecast") * share).otherwise(
+        F.col("forecast"))
+    return (forecast.withColumns({"_i": position(), "_first": F.first("forecast").over(_w())})
+            .select(*_rebound(forecast, value, jump, 0.7, 1.3)))
 
 
 def spread_months(totals: DataFrame, start: Column, monthly: Column, low: float, high: float,
@@ -169,8 +168,8 @@ def combine(components: DataFrame, weights: dict[str, float] = METHOD_WEIGHTS) -
 
     total = F.aggregate("_methods", F.lit(0.0), lambda acc, m: acc + weight(m))
     scale = F.when(F.abs(F.col("_total") - 1) > 0.01, F.col("_total")).otherwise(1.0)
-    return (components.withColumn("_methods", methods).withColumn("_w", weight(F.col("method")))
-            .withColumn("_total", total)
+    return (components.withColumn("_methods", methods)
+            .withColumns({"_w": weight(F.col("method")), "_total": total})
             .groupBy("series_id", "month")
             .agg(*[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("_w")).alias(c) for c in BANDS],
                  F.max("_total").alias("_total"))

@@ -75,9 +75,8 @@ def _with_trailing_mean(series: DataFrame, months: int = 6) -> DataFrame:
     remaining = F.count(F.when(live, 1)).over(_ordered(SERIES).rowsBetween(0, Window.unboundedFollowing))
     used = live & (F.col("_remaining") <= months)
     return (series.withColumn("_remaining", remaining)
-            .withColumn("mean_trips", F.avg(F.when(used, F.col("trip_count"))).over(_key(SERIES)))
-            .withColumn("mean_revenue", F.avg(F.when(used, F.col("revenue"))).over(_key(SERIES)))
-            .drop("_remaining"))
+            .select(*series.columns, F.avg(F.when(used, F.col("trip_count"))).over(_key(SERIES)).alias("mean_trips"),
+                    F.avg(F.when(used, F.col("revenue"))).over(_key(SERIES)).alias("mean_revenue")))
 
 
 def trailing_nonzero_mean(series: DataFrame, months: int = 6) -> DataFrame:
@@ -87,15 +86,13 @@ def trailing_nonzero_mean(series: DataFrame, months: int = 6) -> DataFrame:
 
 def flag_incomplete_months(series: DataFrame, exclude: int = 2) -> DataFrame:
     """Mark recent months that look unfinished (only the last ``exclude`` + 2 are checked)."""
-    n = F.count(F.lit(1)).over(_key(SERIES))
     low = ((F.col("trip_count") < F.col("mean_trips") * 0.5)
            | (F.col("revenue") < F.col("mean_revenue") * 0.3)
            | (F.col("revenue") < 1000))
-    checked = (n > exclude) & F.col("mean_trips").isNotNull() & (F.col("rn_desc") <= exclude + 2)
+    checked = (F.col("_n") > exclude) & F.col("mean_trips").isNotNull() & (F.col("rn_desc") <= exclude + 2)
     return (_with_trailing_mean(series)
-            .withColumn("rn_desc", from_end())
-            .withColumn("incomplete", F.coalesce(checked & low, F.lit(False)))
-            .drop("mean_trips", "mean_revenue"))
+            .withColumns({"rn_desc": from_end(), "_n": F.count(F.lit(1)).over(_key(SERIES))})
+            .select(*series.columns, "rn_desc", F.coalesce(checked & low, F.lit(False)).alias("incomplete")))
 
 
 def trim_incomplete_tail(flagged: DataFrame) -> DataFrame:
@@ -109,7 +106,7 @@ def trim_incomplete_tail(flagged: DataFrame) -> DataFrame:
 def drop_collapsed_last_month(series: DataFrame) -> DataFrame:
     """Drop the last month if it is below 20 % of the month before (both positive)."""
     prev = F.lag("revenue").over(_ordered(SERIES))
-    return (series.withColumn("_prev", prev).withColumn("_end", from_end())
+    return (series.withColumns({"_prev": prev, "_end": from_end()})
             .filter(~F.coalesce((F.col("_end") == 1) & (F.col("revenue") > 0) & (F.col("_prev") > 0)
                                 & (F.col("revenue") / F.col("_prev") < 0.2), F.lit(False)))
             .drop("_prev", "_end"))
@@ -125,7 +122,7 @@ def drop_anomalous_last_month(series: DataFrame) -> DataFrame:
     """Drop the last month if far below the mean of the 12 before it, or below 1000."""
     before = F.avg("revenue").over(_ordered(SERIES).rowsBetween(-12, -1))
     low = ((F.col("_before") > 0) & (F.col("revenue") < F.col("_before") * 0.3)) | (F.col("revenue") < 1000)
-    return (series.withColumn("_before", before).withColumn("_end", from_end())
+    return (series.withColumns({"_before": before, "_end": from_end()})
             .filter(~F.coalesce((F.col("_end") == 1) & F.col("_before").isNotNull() & low, F.lit(False)))
             .drop("_before", "_end"))
 
@@ -174,25 +171,19 @@ def series_profile(series: DataFrame) -> DataFrame:
 def growth_columns(series: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """Attach to every row whether its series should saturate (``logistic``) and at which ``cap``."""
     n = F.count(F.lit(1)).over(_key(by))
-    recent = F.least(F.lit(6), F.col("_n"))
+    recent = F.least(F.lit(6), F.col("n"))
 
     def at(cond):
         return F.max(F.when(cond, F.col("revenue"))).over(_key(by))
 
-    rising = (F.col("_last") - F.col("_first")) / F.col("_n")
+    rising = (F.col("_last") - F.col("_first")) / F.col("n")
     now = (F.col("_last") - F.col("_recent_first")) / recent
-    return (series.withColumn("_n", n).withColumn("_end", from_end(by))
-            .withColumn("_last", at(F.col("_end") == 1))
-            .withColumn("_first", at(F.col("_end") == F.col("_n")))
-            .withColumn("_recent_first", at(F.col("_end") == recent))
-            .withColumn("_recent_max", at(F.col("_end") <= recent))
-            .withColumn("_max", F.max("revenue").over(_key(by)))
-            .withColumn("logistic", (F.col("_n") >= 3)
-                        & (((now <= 0) & (rising > 0)) | (now < rising * 0.5)))
-            .withColumn("cap", F.greatest(F.col("_recent_max") * 1.5, F.col("_max") * 1.2))
-            .withColumn("t", (F.col("_n") - F.col("_end")).cast("int"))
-            .withColumnRenamed("_n", "n")
-            .drop("_end", "_last", "_first", "_recent_first", "_recent_max", "_max"))
+    cap = F.greatest(F.col("_recent_max") * 1.5, F.col("_max") * 1.2)
+    return (series.withColumns({"n": n, "_end": from_end(by), "_max": F.max("revenue").over(_key(by))})
+            .withColumns({"_last": at(F.col("_end") == 1), "_first": at(F.col("_end") == F.col("n")),
+                          "_recent_first": at(F.col("_end") == recent), "_recent_max": at(F.col("_end") <= recent)})
+            .select(*series.columns, "n", (F.col("n") - F.col("_end")).cast("int").alias("t"), cap.alias("cap"),
+                    ((F.col("n") >= 3) & (((now <= 0) & (rising > 0)) | (now < rising * 0.5))).alias("logistic")))
 
 
 def growth_mode(series: DataFrame) -> DataFrame:

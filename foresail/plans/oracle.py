@@ -580,7 +580,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, CASE WHEN last_revenue>0 THEN f0/last_revenue > 1.3 ELSE true END jump FROM seas1))"""),
         "e13_dampen_start": _sql("damped2", f"SELECT {bands} FROM damped2"),
         "e14_cap_forecast": _sql("capped_e14", f"SELECT {bands} FROM capped_e14"),
-        "e15_interval_rebuild": _sql("seas1", f"""SELECT series_id, month, round(forecast, 2) AS forecast, round(greatest(forecast*(1-{_CV}), 0), 2) AS lower,
+        "e15_interval_rebuild": _sql("seas1", f"""SELECT series_id, month, round(forecast, 2) AS forecast, round(greatest(forecast*(1-{_CV}), 0), 2) + 0.0::DOUBLE AS lower,
             round(forecast*(1+{_CV}), 2) AS upper FROM seas1"""),
         "e16_chart_rows": _sql("points", """SELECT series_id, month, row_index, round(prev, 2) AS prev_revenue, round(CASE WHEN type='historical' THEN revenue END, 2) AS revenue_historical,
             round(CASE WHEN type='forecast' THEN revenue END, 2) AS revenue_forecast, round(lower, 2) AS band_low, round(upper, 2) AS band_high, round((upper-lower)/2, 2) AS half_width,

@@ -21,32 +21,29 @@ def fit_seasonal_trend(series: DataFrame, by: Sequence[str] = SERIES, growth: st
     """One model row per series: mode, cap, line, calendar-month effects and sigma.
 
     ``growth`` forces "linear" for all series; by default each series chooses."""
-    key = Window.partitionBy(*by)
-    rows = growth_columns(series, by)
-    if growth == "linear":
-        rows = rows.withColumn("logistic", F.lit(False))
-    rows = rows.withColumn("logistic", F.coalesce(F.col("logistic") & (F.col("cap") > 0), F.lit(False)))
+    key, calendar = Window.partitionBy(*by), Window.partitionBy(*by, "moy")
+    saturating = F.lit(False) if growth == "linear" else F.coalesce(
+        F.col("logistic") & (F.col("cap") > 0), F.lit(False))
     inside = F.least(F.greatest(F.col("revenue"), F.col("cap") * 0.001), F.col("cap") * 0.999)
-    rows = rows.withColumn("y", F.when(F.col("logistic"), F.log(inside / (F.col("cap") - inside)))
-                           .otherwise(F.col("revenue")))
     line = F.col("intercept") + F.col("slope") * F.col("t")
     trend = F.when(F.col("logistic"), F.col("cap") / (1 + F.exp(-line))).otherwise(line)
-    calendar = Window.partitionBy(*by, "moy")
-    share = 1 / F.count(F.lit(1)).over(calendar)
+    # every calendar month weighs the same however many years it occurs in
+    centre = F.sum(F.col("effect") * F.col("share")).over(key) / F.sum("share").over(key)
+    seasonal = F.col("effect") - F.col("centre")
     return (
-        rows.withColumn("slope", F.coalesce(F.regr_slope("y", "t").over(key), F.lit(0.0)))
-        .withColumn("intercept", F.coalesce(F.regr_intercept("y", "t").over(key), F.avg("y").over(key)))
-        .withColumn("moy", F.month("month"))
+        growth_columns(series, by)
+        .withColumns({"logistic": saturating, "moy": F.month("month"),
+                      "y": F.when(saturating, F.log(inside / (F.col("cap") - inside))).otherwise(F.col("revenue"))})
+        .withColumns({"slope": F.coalesce(F.regr_slope("y", "t").over(key), F.lit(0.0)),
+                      "intercept": F.coalesce(F.regr_intercept("y", "t").over(key), F.avg("y").over(key))})
         .withColumn("residual", F.col("revenue") - trend)
-        .withColumn("_effect", F.avg("residual").over(calendar)).withColumn("_share", share)
-        # every calendar month weighs the same however many years it occurs in
-        .withColumn("_centre", F.sum(F.col("_effect") * F.col("_share")).over(key) / F.sum("_share").over(key))
-        .withColumn("seasonal", F.col("_effect") - F.col("_centre"))
+        .withColumns({"effect": F.avg("residual").over(calendar), "share": 1 / F.count(F.lit(1)).over(calendar)})
+        .withColumn("centre", centre)
         .groupBy(*by).agg(
             F.max("n").alias("n"), F.max("month").alias("last_month"), F.bool_or("logistic").alias("logistic"),
             F.max("cap").alias("cap"), F.max("slope").alias("slope"), F.max("intercept").alias("intercept"),
-            F.coalesce(F.stddev_samp(F.col("residual") - F.col("seasonal")), F.lit(0.0)).alias("sigma"),
-            F.map_from_entries(F.collect_set(F.struct("moy", "seasonal"))).alias("seasonal")))
+            F.coalesce(F.stddev_samp(F.col("residual") - seasonal), F.lit(0.0)).alias("sigma"),
+            F.map_from_entries(F.collect_set(F.struct("moy", seasonal.alias("effect")))).alias("seasonal")))
 
 
 def predict_seasonal_trend(model: DataFrame, by: Sequence[str] = SERIES, months: int = HORIZON) -> DataFrame:
@@ -55,11 +52,10 @@ def predict_seasonal_trend(model: DataFrame, by: Sequence[str] = SERIES, months:
     line = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("h"))
     trend = F.when(F.col("logistic"), F.col("cap") / (1 + F.exp(-line))).otherwise(line)
     month = months_after(F.col("last_month"), F.col("h"))
-    season = F.coalesce(F.try_element_at("seasonal", F.month("month")), F.lit(0.0))
-    return (ahead.withColumn("month", month).withColumn("forecast", trend + season)
-            .select(*by, "month", "h", "forecast",
-                    (F.col("forecast") - F.col("sigma") * Z_80).alias("lower"),
-                    (F.col("forecast") + F.col("sigma") * Z_80).alias("upper")))
+    value = trend + F.coalesce(F.try_element_at("seasonal", F.month(month)), F.lit(0.0))
+    return ahead.select(*by, month.alias("month"), "h", value.alias("forecast"),
+                        (value - F.col("sigma") * Z_80).alias("lower"),
+                        (value + F.col("sigma") * Z_80).alias("upper"))
 
 
 def seasonal_forecast(series: DataFrame, growth: str | None = None) -> DataFrame:

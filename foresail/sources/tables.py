@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.schema import LEAD_COLUMNS
-
 FIXTURE_AS_OF = "2001-08-01"
 _OPEN_SINCE = "2001-02-02"
 
 
+# Declared so that opening a table reads no footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,40 +49,39 @@ def leads_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = (read_table(spark, sf_dir, "customer")
                 .join(_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
                 .select("c_custkey", F.col("c_mktsegment").alias("lead_source"), "destination"))
-    base = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(first, F.col("k") == F.col("first_k"), "left")
-            .withColumn("rep", F.when(F.col("first_k").isNull(), 1).otherwise(0)))
-
-    k = F.col("k")
+    k, inquiry = F.col("k"), F.col("inquiry_date")
+    rep = F.when(F.col("first_k").isNull(), 1).otherwise(0)
     h = (k * 7919 + 13) % 100
-    lift = 15 * F.col("rep")
-    still_open = (F.col("inquiry_date") >= F.lit(_OPEN_SINCE).cast("date")) & (F.col("st") != "F")
+    lift = 15 * rep
+    still_open = (inquiry >= F.lit(_OPEN_SINCE).cast("date")) & (F.col("st") != "F")
     stage = (F.when(still_open & (h < 50), "inquiry").when(still_open & (h < 80), "quote_sent")
              .when(still_open & (h < 95), "booked").when(still_open, "final_payment")
              .when(h < 35 + lift, "completed").when(h < 38 + lift, "cancelled").otherwise("lost"))
-
-    def days(c):
-        return c.cast("int")
-
-    quoted = F.col("current_stage").isin("quote_sent", "booked", "final_payment", "completed", "cancelled")
-    booked = F.col("current_stage").isin("booked", "final_payment", "completed", "cancelled")
-    paid = F.col("current_stage").isin("final_payment", "completed", "cancelled")
-    return (
-        base.withColumn("current_stage", stage)
-        .withColumn("quote_date", F.when(
-            quoted | ((F.col("current_stage") == "lost") & (h % 2 == 0)),
-            F.date_add("inquiry_date", days(1 + k % 7))))
-        .withColumn("booking_date", F.when(booked, F.date_add("quote_date", days(5 + k % 26))))
-        .withColumn("trip_date", F.date_add("booking_date", days(30 + k % 151)))
-        .withColumn("final_payment_date", F.when(paid, F.date_sub("trip_date", days(7 + k % 24))))
-        .withColumn("lead_id", F.concat(F.lit("LEAD_"), k.cast("string")))
-        .withColumn("trip_price", F.when(F.col("current_stage").isin("lost", "cancelled"), 0.0)
-                    .otherwise(F.col("o_totalprice")))
-        .withColumn("is_repeat_customer", F.col("rep").cast("int"))
-        .withColumn("duration_days", F.element_at(
-            F.array(*[F.lit(d) for d in (7, 10, 14, 21)]), days(k % 4) + 1))
-        .select(*LEAD_COLUMNS)
-    )
+    staged = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+              .join(first, k == F.col("first_k"), "left")
+              .select("k", "inquiry_date", "destination", "lead_source", "o_totalprice",
+                      stage.alias("current_stage"), rep.cast("int").alias("is_repeat_customer")))
+
+    # days from the inquiry to each later date
+    quote = 1 + k % 7
+    booking = quote + 5 + k % 26
+    trip = booking + 30 + k % 151
+    payment = trip - (7 + k % 24)
+
+    def dated(stages, days, also=F.lit(False)):
+        return F.when(F.col("current_stage").isin(*stages) | also, F.date_add(inquiry, days.cast("int")))
+
+    paid = ("final_payment", "completed", "cancelled")
+    booked = ("booked", *paid)
+    return staged.select(
+        F.concat(F.lit("LEAD_"), k.cast("string")).alias("lead_id"), "inquiry_date", "destination",
+        F.when(F.col("current_stage").isin("lost", "cancelled"), 0.0).otherwise(F.col("o_totalprice"))
+        .alias("trip_price"),
+        "lead_source", "current_stage", "is_repeat_customer",
+        dated(("quote_sent", *booked), quote, (F.col("current_stage") == "lost") & (h % 2 == 0)).alias("quote_date"),
+        dated(booked, booking).alias("booking_date"), dated(booked, trip).alias("trip_date"),
+        dated(paid, payment).alias("final_payment_date"),
+        F.element_at(F.array(*[F.lit(d) for d in (7, 10, 14, 21)]), (k % 4).cast("int") + 1).alias("duration_days"))
 
 
 def supplier_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
