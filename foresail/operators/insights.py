@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foresail.functions.expr import count_of, money, ratio, series_labels
 from foresail.operators.leads import _is_active, _is_future_trip
+from foresail.session import settle
 
 # fixed values: sentences used when nothing can be said
 NO_DATA_INSIGHTS = ("Revenue forecast generated successfully.",
@@ -23,7 +24,7 @@ LIMIT = 5
 def lead_statistics(leads: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFrame:
     """Per series: completion, prices, open leads, top source and destination.
 
-    One aggregate by (keys, source, destination) over the leads feeds all of it."""
+    One aggregate by (keys, source, destination) over the leads, settled, feeds all of it."""
     done = F.col("current_stage") == "completed"
     is_open = _is_active(as_of) | _is_future_trip(as_of)
     price = money(F.col("trip_price"))
@@ -32,7 +33,7 @@ def lead_statistics(leads: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFr
         F.count(F.lit(1)).alias("total"), count_of(done).alias("completed"),
         F.sum(F.when(done, price)).alias("revenue"), F.count(F.when(done, price)).alias("priced"),
         count_of(is_open).alias("open_leads"), F.sum(F.when(is_open, price)).alias("open_value"))
-    base = base.withColumn("series_id", F.explode(series_labels(keys)))
+    base = settle(base).withColumn("series_id", F.explode(series_labels(keys)))
     totals = base.groupBy("series_id").agg(*[
         F.coalesce(F.sum(c), F.lit(0)).alias(c)
         for c in ("total", "completed", "revenue", "priced", "open_leads", "open_value")])

@@ -74,9 +74,9 @@ def revenue_stats(leads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     median = exact_median(done, "trip_price", by).withColumnRenamed("median", "median_trip_value")
     if by:
         return totals.join(median, list(by))
-    # two single-row results
-    return (totals.withColumn("_one", F.lit(1)).join(F.broadcast(median.withColumn("_one", F.lit(1))), "_one")
-            .drop("_one"))
+    # two one-row results side by side without a join
+    return (totals.unionByName(median, allowMissingColumns=True)
+            .agg(*[F.max(c).alias(c) for c in [*totals.columns, "median_trip_value"]]).filter("trips > 0"))
 
 
 def monthly_revenue_stats(series: DataFrame, population: bool = False) -> DataFrame:

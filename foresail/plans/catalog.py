@@ -14,7 +14,7 @@ from foresail.functions.expr import as_date
 from foresail.operators import completeness, forecasts as P, funnel, insights as G, leads as B, rates as R
 from foresail.operators import reporting as D, scenarios, series as S, stats as ST
 from foresail.plans import conversion_model as M, forecast as FC, trend as T
-from foresail.session import scratch_path
+from foresail.session import scratch_path, settle
 from foresail.sources import csv_leads, sinks
 from foresail.sources.artifacts import ArtifactStore
 from foresail.sources.snapshots import SnapshotStore
@@ -55,8 +55,14 @@ def _history(spark, sf):
     return S.trimmed_series(_monthly(spark, sf))
 
 
+def _cube(spark, sf):
+    """One scan of the leads for everything derived from months, stages and segments."""
+    return settle(FC.lead_cube(_leads(spark, sf), KEYS, AS_OF))
+
+
 def _anchored(spark, sf):
-    return S.drop_anomalous_last_month(_history(spark, sf))
+    """Trimmed history without an anomalous last month, settled because several branches read it."""
+    return settle(S.drop_anomalous_last_month(_history(spark, sf)))
 
 
 def _forecast(spark, sf):
@@ -64,21 +70,16 @@ def _forecast(spark, sf):
 
 
 def _points(spark, sf):
-    history = D.monthly_bookings(_history(spark, sf), _monthly(spark, sf))
-    return D.combined_series(history, _forecast(spark, sf))
-
+    return FC.chart_points(_cube(spark, sf), AS_OF, KEYS)
 
-def _with_profile(forecast, spark, sf):
-    return P.with_history(forecast, S.series_profile(_anchored(spark, sf)))
 
-
-def _seasonal(spark, sf):
-    return T.seasonal_forecast(_anchored(spark, sf))
+def _seasonal_with_profile(spark, sf):
+    history = _anchored(spark, sf)
+    return P.with_history(T.seasonal_forecast(history), S.series_profile(history))
 
 
 def _weighted(spark, sf):
-    leads = _leads(spark, sf)
-    return R.weighted_open_value(R.open_value(B.open_leads(leads, AS_OF), KEYS), R.conversion_rates(leads))
+    return FC.cube_weighted(_cube(spark, sf), KEYS)
 
 
 def _score():
@@ -231,21 +232,23 @@ def c1_fill_missing_months(spark, sf):
     return rounded(_filled(spark, sf))
 
 
-def _components(spark, sf):
-    profile = S.series_profile(_anchored(spark, sf))
-    rules = FC.rules_component(R.rule_totals(_weighted(spark, sf), KEYS), profile, AS_OF)
-    return FC.seasonal_component(_anchored(spark, sf), profile).unionByName(rules)
+def _components(cube):
+    """Seasonal and rules component with the profile they are anchored on."""
+    history = settle(S.drop_anomalous_last_month(FC.cube_history(cube, KEYS)))
+    profile = S.series_profile(history)
+    rules = FC.rules_component(FC.cube_rule_totals(cube, KEYS), profile, AS_OF)
+    return FC.seasonal_component(history, profile).unionByName(rules), profile
 
 
 @query
 def c2_ensemble_merge(spark, sf):
-    return rounded(P.combine(_components(spark, sf)), 2)
+    return rounded(P.combine(_components(_cube(spark, sf))[0]), 2)
 
 
 @query
 def c3_lookup_conversion_rate(spark, sf):
     leads = _leads(spark, sf)
-    looked = R.lookup_conversion_rate(B.open_leads(leads, AS_OF), R.conversion_rates(leads))
+    looked = R.lookup_conversion_rate(B.open_leads(leads, AS_OF), settle(R.conversion_rates(leads)))
     return rounded(looked.select("lead_id", "current_stage", "conversion_rate", "tier"), 6)
 
 
@@ -256,7 +259,8 @@ def c3_tier_usage(spark, sf):
 
 @query
 def c4_monthly_bookings(spark, sf):
-    return rounded(D.monthly_bookings(_history(spark, sf), _monthly(spark, sf)))
+    cube = _cube(spark, sf)
+    return rounded(D.monthly_bookings(FC.cube_history(cube, KEYS), FC.cube_bookings(cube, KEYS)))
 
 
 @query
@@ -418,7 +422,9 @@ def d22_forecast_summary(spark, sf):
 @query
 def d23_horizon_kpis(spark, sf):
     """The ensemble against the plain seasonal forecast as baseline."""
-    kpis = D.horizon_kpis(_points(spark, sf), _seasonal(spark, sf))
+    cube = _cube(spark, sf)
+    plain = T.seasonal_forecast(S.drop_anomalous_last_month(FC.cube_history(cube, KEYS)))
+    kpis = D.horizon_kpis(FC.chart_points(cube, AS_OF, KEYS), plain)
     return rounded(kpis, 2, diff_pct=6, compare_1mo=6, compare_3mo=6, compare_6mo=6)
 
 
@@ -477,7 +483,7 @@ def d32_classification_metrics(spark, sf):
 
 @query
 def d33_backtest_metrics(spark, sf):
-    return rounded(T.backtest_metrics(T.rolling_origin(_history(spark, sf))), 2, mape=6, mse=-6)
+    return rounded(T.backtest_metrics(T.rolling_origin(settle(_history(spark, sf)))), 2, mape=6, mse=-6)
 
 
 # --- windows and time series -------------------------------------------------------------
@@ -544,31 +550,33 @@ def e10_ewm_smooth(spark, sf):
 
 @query
 def e11_seeded_variation(spark, sf):
-    rows = _with_profile(_seasonal(spark, sf), spark, sf)
-    component = P.component_variation(rows).select("series_id", "month", F.col("forecast").alias("component"))
-    ensemble = P.ensemble_variation(rows).select("series_id", "month", F.col("forecast").alias("ensemble"))
-    return rounded(component.join(ensemble, ["series_id", "month"]), 2)
+    rows = _seasonal_with_profile(spark, sf)
+    plain = rows.withColumn("plain", F.col("forecast"))
+    component = (P.component_variation(plain).withColumn("component", F.col("forecast"))
+                 .withColumn("forecast", F.col("plain")))
+    both = P.ensemble_variation(component).select("series_id", "month", "component", F.col("forecast").alias("ensemble"))
+    return rounded(both, 2)
 
 
 @query
 def e12_transition_blend(spark, sf):
-    return _bands(P.transition_blend(_with_profile(_seasonal(spark, sf), spark, sf)))
+    return _bands(P.transition_blend(_seasonal_with_profile(spark, sf)))
 
 
 @query
 def e13_dampen_start(spark, sf):
-    return _bands(P.dampen_start(_with_profile(_seasonal(spark, sf), spark, sf)))
+    return _bands(P.dampen_start(_seasonal_with_profile(spark, sf)))
 
 
 @query
 def e14_cap_forecast(spark, sf):
     return _bands(P.cap_to_history(P.cap_outliers(P.clip_non_negative(
-        _with_profile(_seasonal(spark, sf), spark, sf)))))
+        _seasonal_with_profile(spark, sf)))))
 
 
 @query
 def e15_interval_rebuild(spark, sf):
-    return _bands(P.interval_rebuild(_with_profile(_seasonal(spark, sf), spark, sf)))
+    return _bands(P.interval_rebuild(_seasonal_with_profile(spark, sf)))
 
 
 @query
@@ -628,8 +636,9 @@ def f5_rule_forecast(spark, sf):
 
 @query
 def f6_spread_12_months(spark, sf):
-    profile = S.series_profile(_anchored(spark, sf))
-    return rounded(FC.rules_component(R.rule_totals(_weighted(spark, sf), KEYS), profile, AS_OF), 2)
+    cube = _cube(spark, sf)
+    profile = S.series_profile(S.drop_anomalous_last_month(FC.cube_history(cube, KEYS)))
+    return rounded(FC.rules_component(FC.cube_rule_totals(cube, KEYS), profile, AS_OF), 2)
 
 
 @query
@@ -651,16 +660,17 @@ def f7_supplier_trend(spark, sf):
 
 @query
 def f8_rolling_origin_backtest(spark, sf):
-    return rounded(T.rolling_origin(_history(spark, sf)).withColumn("h", F.col("h").cast("long")), forecast=0)
+    return rounded(T.rolling_origin(settle(_history(spark, sf))).withColumn("h", F.col("h").cast("long")), forecast=0)
 
 
 @query
 def f9_combine_ensemble(spark, sf):
     """Three components, one of them without a fixed weight."""
-    profile = S.series_profile(_anchored(spark, sf))
-    value = R.rule_totals(_weighted(spark, sf), KEYS)
+    cube = _cube(spark, sf)
+    parts, profile = _components(cube)
+    value = FC.cube_rule_totals(cube, KEYS)
     extra = FC.rules_component(value.withColumn("total", F.col("open_value")), profile, AS_OF)
-    return rounded(P.combine(_components(spark, sf).unionByName(extra.withColumn("method", F.lit("full_value")))), 2)
+    return rounded(P.combine(parts.unionByName(extra.withColumn("method", F.lit("full_value")))), 2)
 
 
 @query

@@ -43,13 +43,11 @@ def new_categories(leads: DataFrame, column: str, codes: DataFrame) -> DataFrame
 
 
 def extend_codes(codes: DataFrame, leads: DataFrame, column: str) -> DataFrame:
-    """The dictionary with unseen values appended after the known ones."""
-    fresh = new_categories(leads, column, codes).withColumn(
-        "r", F.row_number().over(Window.orderBy("category")))
-    size = codes.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("size")).withColumn("_one", F.lit(1))
-    appended = (fresh.withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one")  # one row
-                .select("category", (F.col("size") + F.col("r") - 1).alias("code")))
-    return codes.unionByName(appended)
+    """The dictionary with unseen values appended, in sorted order, after the known ones."""
+    both = codes.unionByName(new_categories(leads, column, codes).withColumn("code", F.lit(None).cast("int")))
+    place = F.row_number().over(Window.partitionBy(F.col("code").isNull()).orderBy("category"))
+    known = F.coalesce(F.max("code").over(Window.partitionBy(F.lit(1))), F.lit(-1))
+    return both.select("category", F.coalesce("code", known + place).alias("code"))
 
 
 def encode_category(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -110,23 +108,26 @@ def classification_metrics(scored: DataFrame, score: str = "score", label: str =
                            weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1, ROC-AUC and confusion counts at threshold 0.5."""
     units = F.lit(1) if weight is None else F.col(weight)
-    hit, yes = F.col(label) == 1, F.col(score) > 0.5
+    # rows with the same score and label become one; counts and AUC both read this table
+    per_score = settle(scored.groupBy(*by, F.col(score).alias("s"), F.col(label).alias("y"))
+                       .agg(F.sum(units).alias("w")))
+    hit, yes = F.col("y") == 1, F.col("s") > 0.5
 
     def total(cond):
-        return F.sum(F.when(cond, units).otherwise(0)).cast("long")
+        return F.sum(F.when(cond, F.col("w")).otherwise(0)).cast("long")
 
-    counts = scored.groupBy(*by).agg(total(hit & yes).alias("tp"), total(~hit & yes).alias("fp"),
-                                     total(hit & ~yes).alias("fn"), total(~hit & ~yes).alias("tn"))
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    rated = (counts.withColumn("samples", tp + fp + fn + tn)
-             .withColumn("accuracy", ratio(tp + tn, F.col("samples")))
-             .withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn))
-             .withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn)))
-    auc = roc_auc(scored, score, label, weight, by)
+    counts = per_score.groupBy(*by).agg(total(hit & yes).alias("tp"), total(~hit & yes).alias("fp"),
+                                        total(hit & ~yes).alias("fn"), total(~hit & ~yes).alias("tn"))
+    auc = roc_auc(per_score, "s", "y", "w", by)
     if by:
-        return rated.join(auc, list(by))
-    one = F.lit(1)
-    return rated.withColumn("_one", one).join(F.broadcast(auc.withColumn("_one", one)), "_one").drop("_one")
+        both = counts.join(auc, list(by))
+    else:
+        names = [*counts.columns, "roc_auc"]
+        both = counts.unionByName(auc, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return both.withColumns({
+        "samples": tp + fp + fn + tn, "accuracy": ratio(tp + tn, tp + fp + fn + tn),
+        "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
 def expected_value_cube(open_leads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,11 +7,13 @@ component - monthly series, conversion rates, open value - is derived from it.""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from foresail.functions.expr import as_date, money, month_of, months_after
 from foresail.operators import forecasts as P
+from foresail.operators.reporting import combined_series, monthly_bookings
 from foresail.operators.rates import SEGMENT, rates_from_counts, rule_totals, weighted_open_value
 from foresail.operators.series import (_finish_monthly, drop_anomalous_last_month, roll_up, series_profile,
                                        trimmed_series)
@@ -23,8 +25,9 @@ from foresail.session import settle
 def lead_cube(leads: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
     """Everything the forecast needs from the leads, counted in one combined aggregate.
 
-    ``month`` is the trip month of completed trips up to ``as_of``; ``open_stage`` the stage in
-    which a lead is still open; the dated flags are those the conversion rates ask for."""
+    ``month`` is the trip month of completed trips and ``past`` whether the trip lies before or on
+    ``as_of``; ``open_stage`` is the stage in which a lead is still open; the dated flags are those
+    the conversion rates ask for."""
     day = as_date(as_of)
     done = F.col("current_stage") == "completed"
     future = done & (F.col("trip_date") > day)
@@ -32,7 +35,8 @@ def lead_cube(leads: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
     dims = list(dict.fromkeys([*keys, *SEGMENT]))
     return leads.groupBy(
         *dims, "current_stage",
-        F.when(done & (F.col("trip_date") <= day), month_of(F.col("trip_date"))).alias("month"),
+        F.when(done, month_of(F.col("trip_date"))).alias("month"),
+        F.coalesce(done & (F.col("trip_date") <= day), F.lit(False)).alias("past"),
         F.when(future, "final_payment").when(active, F.col("current_stage")).alias("open_stage"),
         *[(done & F.col(STAGE_DATE[s]).isNotNull()).alias(f"dated_{s}") for s in ACTIVE_STAGES[1:]],
     ).agg(F.count(F.lit(1)).alias("leads"), F.count("lead_id").alias("trips"),
@@ -40,8 +44,13 @@ def lead_cube(leads: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
 
 
 def cube_monthly(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _finish_monthly(roll_up(cube.filter(F.col("month").isNotNull()), keys, ["month"],
-                                   {"r": "value", "n": "trips"}))
+    """Monthly revenue and trips up to the cube's date."""
+    return _finish_monthly(roll_up(cube.filter("past"), keys, ["month"], {"r": "value", "n": "trips"}))
+
+
+def cube_bookings(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Completed trips by month, later ones included."""
+    return roll_up(cube.filter(F.col("month").isNotNull()), keys, ["month"], {"trip_count": "leads"})
 
 
 def cube_rates(cube: DataFrame) -> DataFrame:
@@ -99,17 +108,27 @@ def finish_ensemble(ensemble: DataFrame, profile: DataFrame) -> DataFrame:
     return P.known_columns(rows).withColumn("method", F.lit("ensemble"))
 
 
-def forecast_12_months(leads: DataFrame, as_of, keys: Sequence[str] = (), scored_totals: DataFrame | None = None,
+def cube_history(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Trimmed monthly series of the cube."""
+    return trimmed_series(cube_monthly(cube, keys))
+
+
+def cube_rule_totals(cube: DataFrame, keys: Sequence[str], rates: DataFrame | None = None) -> DataFrame:
+    """Weighted open value per series, with the cube's own rates unless others are given."""
+    return rule_totals(cube_weighted(cube, keys, rates), keys)
+
+
+def cube_weighted(cube: DataFrame, keys: Sequence[str], rates: DataFrame | None = None) -> DataFrame:
+    return weighted_open_value(cube_open_value(cube, keys), cube_rates(cube) if rates is None else rates)
+
+
+def forecast_from_cube(cube: DataFrame, as_of, keys: Sequence[str] = (), scored_totals: DataFrame | None = None,
                        rates: DataFrame | None = None, use_seasonal: bool = True,
                        use_rules: bool = True) -> DataFrame:
-    """Ensemble forecast per series: month, forecast, lower, upper, method.
-
-    ``scored_totals`` (series_id, total) adds the model-scored component; ``rates`` replaces the
-    rates learned from the leads, e.g. by ones loaded from the artifact store."""
+    """The ensemble from a (settled) cube; see ``forecast_12_months``."""
     if not (use_seasonal or use_rules or scored_totals is not None):
         raise ValueError("no forecast component is enabled")
-    cube = settle(lead_cube(leads, keys, as_of))
-    history = drop_anomalous_last_month(trimmed_series(cube_monthly(cube, keys)))
+    history = drop_anomalous_last_month(cube_history(cube, keys))
     if use_seasonal:
         history = settle(history)  # months x series; read by the model and the profile
     profile = series_profile(history)
@@ -119,9 +138,20 @@ def forecast_12_months(leads: DataFrame, as_of, keys: Sequence[str] = (), scored
     if scored_totals is not None:
         parts.append(scored_component(scored_totals, profile, as_of))
     if use_rules:
-        weighted = weighted_open_value(cube_open_value(cube, keys), cube_rates(cube) if rates is None else rates)
-        parts.append(rules_component(rule_totals(weighted, keys), profile, as_of))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return finish_ensemble(P.combine(union), profile)
+        parts.append(rules_component(cube_rule_totals(cube, keys, rates), profile, as_of))
+    return finish_ensemble(P.combine(reduce(DataFrame.unionByName, parts)), profile)
+
+
+def forecast_12_months(leads: DataFrame, as_of, keys: Sequence[str] = (), **components) -> DataFrame:
+    """Ensemble forecast per series: month, forecast, lower, upper, method.
+
+    ``scored_totals`` (series_id, total) adds the model-scored component; ``rates`` replaces the
+    rates learned from the leads, e.g. by ones loaded from the artifact store; ``use_seasonal``
+    and ``use_rules`` switch the other components off."""
+    return forecast_from_cube(settle(lead_cube(leads, keys, as_of)), as_of, keys, **components)
+
+
+def chart_points(cube: DataFrame, as_of, keys: Sequence[str] = (), **components) -> DataFrame:
+    """History with bookings and the forecast as one set of points."""
+    history = monthly_bookings(cube_history(cube, keys), cube_bookings(cube, keys))
+    return combined_series(history, forecast_from_cube(cube, as_of, keys, **components))

@@ -312,8 +312,10 @@ _ensemble("ensx", "seasonal rules full_value")
 _finish("ens", "fin_")
 _finish("ens3", "fin3_")
 _cte("fc", "fin_fc", "SELECT * FROM fin_fc")
-_cte("bookings", "hist monthly", """
-  SELECT hist.*, nullif(monthly.trip_count, 0) bookings FROM hist LEFT JOIN monthly USING (series_id, month)""")
+_cte("bookings", "hist leads", """
+  SELECT h.series_id, h.month, any_value(revenue) revenue, any_value(trip_count) trip_count, nullif(count(d.lead_id), 0) bookings
+  FROM hist h LEFT JOIN leads d ON (h.series_id='ALL' OR h.series_id=d.destination) AND d.current_stage='completed'
+    AND d.trip_date >= h.month AND d.trip_date < h.month + INTERVAL 1 MONTH GROUP BY 1, 2""")
 _cte("points", "bookings fc", """
   SELECT series_id, month, revenue, bookings, 'historical' AS type, NULL::DOUBLE lower, NULL::DOUBLE upper FROM bookings
   UNION ALL SELECT series_id, month, forecast, NULL, 'forecast', lower, upper FROM fc""")
@@ -476,9 +478,7 @@ def oracle_sql() -> dict[str, str]:
         "c2_ensemble_merge": _sql("ens", f"SELECT {bands}, 'ensemble' AS method FROM ens"),
         "c3_lookup_conversion_rate": _sql("looked", "SELECT lead_id, current_stage, round(conversion_rate, 6) AS conversion_rate, tier FROM looked"),
         "c3_tier_usage": _sql("looked", "SELECT tier, count(*) AS leads FROM looked GROUP BY 1"),
-        "c4_monthly_bookings": _sql("hist done", """SELECT h.series_id, h.month, round(any_value(revenue), 4) AS revenue, any_value(trip_count) AS trip_count,
-            nullif(count(d.lead_id), 0) AS bookings FROM hist h LEFT JOIN done d ON (h.series_id='ALL' OR h.series_id=d.destination)
-            AND d.trip_date >= h.month AND d.trip_date < h.month + INTERVAL 1 MONTH GROUP BY 1, 2"""),
+        "c4_monthly_bookings": _sql("bookings", f"SELECT {series}, bookings FROM bookings"),
         "c5_encode_category": _sql("leads resolved", """SELECT lead_id, l.lead_source, CAST(coalesce(c.code, 0) AS INT) AS lead_source_code FROM leads l
             LEFT JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 code FROM (SELECT DISTINCT coalesce(lead_source,'Unknown') v FROM resolved)) c
             ON c.v = coalesce(l.lead_source, 'Unknown')"""),
