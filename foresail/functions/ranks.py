@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foresail.session import bounded
+
 _ONE = "_one"
 
 
@@ -39,12 +41,13 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
         .filter(((F.col("before") < F.col("low")) & (F.col("low") <= F.col("upto")))
                 | ((F.col("before") < F.col("high")) & (F.col("high") <= F.col("upto"))))
         .select(*keys, "b", "before", "low", "high"))
-    if not by:
-        wanted = F.broadcast(wanted)  # two rows at most
+    # at most two rows per key: where that is small, the rows outside drop out before any shuffle
+    wanted = bounded(wanted)
     in_bucket = Window.partitionBy(*keys, "b")
     at = F.col("before") + F.sum("c").over(in_bucket.orderBy("v"))
     middle = (
-        rows.groupBy(*keys, "b", "v").agg(F.count(F.lit(1)).alias("c")).join(wanted, [*keys, "b"])
+        rows.join(wanted, [*keys, "b"])
+        .groupBy(*keys, "b", "v", "before", "low", "high").agg(F.count(F.lit(1)).alias("c"))
         .withColumn("at", at)
         .groupBy(*keys).agg(
             F.min(F.when(F.col("at") >= F.col("low"), F.col("v"))).alias("_lo"),

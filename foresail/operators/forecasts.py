@@ -31,8 +31,8 @@ def with_history(forecast: DataFrame, profile: DataFrame) -> DataFrame:
     return forecast.join(profile, "series_id", "left")
 
 
-def known_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select("series_id", "month", *BANDS, *[c for c in keep if c in df.columns])
+def known_columns(df: DataFrame) -> DataFrame:
+    return df.select("series_id", "month", *BANDS)
 
 
 def clip_non_negative(forecast: DataFrame) -> DataFrame:

@@ -10,10 +10,20 @@ from foresail.functions.expr import count_of, money, ratio, series_labels
 from foresail.operators.leads import _is_active, _is_future_trip
 from foresail.session import settle
 
-# fixed values: sentences used when nothing can be said
-NO_DATA_INSIGHTS = ("Revenue forecast generated successfully.",
-                    "Historical patterns indicate consistent performance.",
-                    "Forecast accounts for seasonal variations.")
+# fixed values: the sentences
+RATE_STRONG = "Strong conversion rate of %s%% indicates effective sales processes."
+RATE_SOLID = "Conversion rate of %s%% shows solid sales performance with room for improvement."
+RATE_LOW = "Conversion rate of %s%% suggests opportunities to optimize sales processes."
+TRIP_VALUE = "Average trip value of $%s provides solid revenue foundation."
+TOTAL_REVENUE = "Total historical revenue of $%s demonstrates strong business performance."
+MONTHLY_REVENUE = "Average monthly revenue of $%s indicates stable revenue streams."
+HISTORY_SPAN = "Historical data spans %d months, providing robust foundation for forecasting."
+MODEL_ACCURACY = "Seasonal model shows strong accuracy with MAPE of %s%%."
+TOP_SOURCE = "%s is the primary lead source (%d leads)"
+TOP_DESTINATION = "%s is the most popular destination (%d trips)"
+RATE_DRIVER = "Conversion rate of %s%% indicates strong sales performance"
+VALUE_DRIVER = "Average trip value of $%s supports premium positioning"
+OPEN_DRIVER = "Active pipeline of %d leads with $%s potential revenue"
 DEFAULT_INSIGHTS = ("Revenue forecast shows stable growth trajectory.",
                     "Historical patterns indicate consistent performance.",
                     "Forecast accounts for seasonal variations.")
@@ -77,18 +87,16 @@ def insights(stats: DataFrame, monthly_stats: DataFrame, metrics: DataFrame | No
               else joined.withColumn("mape", F.lit(None).cast("double")))
     rate, average, total = F.col("rate"), F.col("average_price"), F.col("revenue")
     monthly, months, mape = F.col("average_monthly"), F.col("total_months"), F.col("mape") * 100
+    percent = _percent(rate)
     said = [
-        F.when(rate > 30, F.format_string("Strong conversion rate of %s%% indicates effective sales processes.",
-                                          _percent(rate)))
-        .when(rate > 20, F.format_string(
-            "Conversion rate of %s%% shows solid sales performance with room for improvement.", _percent(rate)))
-        .when(rate > 0, F.format_string(
-            "Conversion rate of %s%% suggests opportunities to optimize sales processes.", _percent(rate))),
-        _say(average > 0, "Average trip value of $%s provides solid revenue foundation.", _dollars(average)),
-        _say(total > 0, "Total historical revenue of $%s demonstrates strong business performance.", _dollars(total)),
-        _say(monthly > 0, "Average monthly revenue of $%s indicates stable revenue streams.", _dollars(monthly)),
-        _say(months >= 12, "Historical data spans %d months, providing robust foundation for forecasting.", months),
-        _say(mape < 15, "Prophet model shows strong accuracy with MAPE of %s%%.", _percent(mape)),
+        F.when(rate > 30, F.format_string(RATE_STRONG, percent))
+        .when(rate > 20, F.format_string(RATE_SOLID, percent))
+        .when(rate > 0, F.format_string(RATE_LOW, percent)),
+        _say(average > 0, TRIP_VALUE, _dollars(average)),
+        _say(total > 0, TOTAL_REVENUE, _dollars(total)),
+        _say(monthly > 0, MONTHLY_REVENUE, _dollars(monthly)),
+        _say(months >= 12, HISTORY_SPAN, months),
+        _say(mape < 15, MODEL_ACCURACY, _percent(mape)),
     ]
     return joined.select("series_id", _first_five(said, DEFAULT_INSIGHTS).alias("insights"))
 
@@ -96,13 +104,11 @@ def insights(stats: DataFrame, monthly_stats: DataFrame, metrics: DataFrame | No
 def key_drivers(stats: DataFrame) -> DataFrame:
     rate, average = F.col("rate"), F.col("average_price")
     said = [
-        _say(F.col("top_source").isNotNull(), "%s is the primary lead source (%d leads)",
-             F.col("top_source"), F.col("top_source_leads")),
-        _say(F.col("top_destination").isNotNull(), "%s is the most popular destination (%d trips)",
-             F.col("top_destination"), F.col("top_destination_leads")),
-        _say(rate > 0, "Conversion rate of %s%% indicates strong sales performance", _percent(rate)),
-        _say(average > 0, "Average trip value of $%s supports premium positioning", _dollars(average)),
-        _say(F.col("open_leads") > 0, "Active pipeline of %d leads with $%s potential revenue",
-             F.col("open_leads"), _dollars(F.col("open_value"))),
+        _say(F.col("top_source").isNotNull(), TOP_SOURCE, F.col("top_source"), F.col("top_source_leads")),
+        _say(F.col("top_destination").isNotNull(), TOP_DESTINATION, F.col("top_destination"),
+             F.col("top_destination_leads")),
+        _say(rate > 0, RATE_DRIVER, _percent(rate)),
+        _say(average > 0, VALUE_DRIVER, _dollars(average)),
+        _say(F.col("open_leads") > 0, OPEN_DRIVER, F.col("open_leads"), _dollars(F.col("open_value"))),
     ]
     return stats.select("series_id", _first_five(said, DEFAULT_DRIVERS).alias("key_drivers"))

@@ -75,8 +75,9 @@ def fallback_rates(spark) -> DataFrame:
 def lookup_conversion_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """Add ``conversion_rate`` and ``tier`` (segmented, flat, missing) to rows with a current_stage.
 
-    Flat rates are at most one row per active stage and are broadcast; the segment table grows
-    with the number of sources, so its join strategy is left to measured sizes."""
+    Flat rates are at most one row per active stage and are broadcast. The segment table grows
+    with the number of sources: for a lookup on single leads pass ``bounded(rates)``, which
+    broadcasts it behind a check of its size."""
     segment = (rates.filter(~F.col("is_flat") & F.col("rate").isNotNull())
                .select(F.col("stage").alias("current_stage"), *SEGMENT, F.col("rate").alias("_seg")))
     flat = (rates.filter(F.col("is_flat"))

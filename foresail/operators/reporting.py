@@ -10,7 +10,6 @@ from foresail.functions.expr import as_date, ratio
 from foresail.schema import HORIZON
 
 
-
 def _p():
     return Window.partitionBy("series_id")
 

@@ -14,7 +14,7 @@ from foresail.functions.expr import as_date
 from foresail.operators import completeness, forecasts as P, funnel, insights as G, leads as B, rates as R
 from foresail.operators import reporting as D, scenarios, series as S, stats as ST
 from foresail.plans import conversion_model as M, forecast as FC, trend as T
-from foresail.session import scratch_path, settle
+from foresail.session import bounded, scratch_path, settle
 from foresail.sources import csv_leads, sinks
 from foresail.sources.artifacts import ArtifactStore
 from foresail.sources.snapshots import SnapshotStore
@@ -248,7 +248,7 @@ def c2_ensemble_merge(spark, sf):
 @query
 def c3_lookup_conversion_rate(spark, sf):
     leads = _leads(spark, sf)
-    looked = R.lookup_conversion_rate(B.open_leads(leads, AS_OF), settle(R.conversion_rates(leads)))
+    looked = R.lookup_conversion_rate(B.open_leads(leads, AS_OF), bounded(R.conversion_rates(leads)))
     return rounded(looked.select("lead_id", "current_stage", "conversion_rate", "tier"), 6)
 
 
@@ -267,7 +267,7 @@ def c4_monthly_bookings(spark, sf):
 def c5_encode_category(spark, sf):
     """Sources encoded with the dictionary of resolved leads."""
     leads = _leads(spark, sf)
-    codes = M.category_codes(B.resolved_leads(leads), "lead_source")
+    codes = bounded(M.category_codes(B.resolved_leads(leads), "lead_source"))
     return M.encode_category(leads, "lead_source", codes).select("lead_id", "lead_source", "lead_source_code")
 
 

@@ -52,7 +52,7 @@ def extend_codes(codes: DataFrame, leads: DataFrame, column: str) -> DataFrame:
 
 def encode_category(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Add ``<column>_code``; values the dictionary does not know get 0. The dictionary grows
-    with the number of categories, so its join strategy is left to measured sizes."""
+    with the number of categories: for single leads pass ``bounded(codes)``."""
     return (rows.withColumn("category", _known(column)).join(codes, "category", "left")
             .withColumn(f"{column}_code", F.coalesce("code", F.lit(0))).drop("category", "code"))
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(name: str = "foresail", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -52,3 +52,15 @@ def settle(df: DataFrame) -> DataFrame:
     costs a re-read of a file, not of the source."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Settle a lookup table and mark it for broadcast only if it has at most ``rows`` rows.
+
+    Larger ones come back unmarked and are joined by shuffle, where adaptive execution splits
+    dominant keys."""
+    settled = settle(df)
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled

@@ -104,3 +104,18 @@ def test_trees_learn_and_survive_a_round_trip(spark, make_leads, tmp_path):
     store.save_model("m", model)
     a = sorted(r.score for r in model.score(cube).collect())
     assert a == pytest.approx(sorted(r.score for r in store.load_model("m").score(cube).collect()))
+
+
+def test_lookup_tables_are_broadcast_only_when_small(spark):
+    from foresail.session import bounded
+    big, small = spark.range(50), spark.range(5)
+    rows = spark.range(100)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table, uses in ((small, True), (big, False)):
+            joined = rows.join(bounded(table, rows=10), "id")
+            text = joined._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in text) is uses and joined.count() == table.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

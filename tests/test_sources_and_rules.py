@@ -134,7 +134,7 @@ def test_sentences(make_leads, make_series):
     assert G.insights(silent, monthly.filter("false")).first().insights == list(G.DEFAULT_INSIGHTS)
     assert G.key_drivers(silent).first().key_drivers == list(G.DEFAULT_DRIVERS)
     only_mape = G.insights(silent, monthly.filter("false"), metrics).first().insights
-    assert only_mape == ["Prophet model shows strong accuracy with MAPE of 10.0%."]
+    assert only_mape == ["Seasonal model shows strong accuracy with MAPE of 10.0%."]
 
 
 def full_report():
