@@ -521,7 +521,7 @@ def e5_drop_anomalous_last_month(spark, sf):
 
 @query
 def e6_recent_stats(spark, sf):
-    return rounded(S.series_profile(_anchored(spark, sf)), 3)
+    return rounded(S.series_profile(_anchored(spark, sf)))
 
 
 @query

@@ -564,7 +564,7 @@ def oracle_sql() -> dict[str, str]:
         "e4_supplier_series": _sql("sup_hist", f"SELECT {series} FROM sup_hist"),
         "e5_drop_anomalous_last_month": _sql("filled_post", f"SELECT {series} FROM filled_post"),
         "e6_recent_stats": _sql("profile", f"""SELECT series_id, "months", last_month, {_r('last_revenue, hist_mean, hist_std, hist_max, plain_mean_6, plain_mean_12, '
-            'recent_mean_6, recent_mean_12, recent_std_12', 3)} FROM profile"""),
+            'recent_mean_6, recent_mean_12, recent_std_12')} FROM profile"""),
         "e7_growth_mode": _sql("tp_growth", "SELECT series_id, n AS months, logistic, round(CASE WHEN logistic THEN cap END, 4) AS cap FROM tp_growth"),
         "e8_month_over_month": _sql("fcn", """SELECT series_id, month, round(forecast, 2) AS forecast, round(CASE WHEN prev IS NOT NULL THEN
             CASE WHEN prev>0 THEN (forecast-prev)/prev*100 ELSE 0 END END, 6) AS mom_pct FROM fcn"""),
