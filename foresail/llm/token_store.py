@@ -7,6 +7,7 @@ reaches, so a lost executor leaves no half-written shard."""
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -15,29 +16,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
+from foresail.llm.bpe import byte_alphabet
 from foresail.llm.common import map_arrow
 from foresail.llm.wavelet import WaveletMatrix
 
-_REMEMBERED = 200_000
-_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: As _UNIT, but for texts with U+001C to U+001F, which only Python takes for white space.
-_EXACT_UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_REMEMBERED, _LOT, _BATCH_BYTES = 600_000, 10, 16 << 20
+_WHITE = r"[\t\n\x{b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space between white space, or after it at the end: there the file's pattern may join what a cut at spaces parts.
+_JOINED = f"{_WHITE} (?:{_WHITE}|$)"
+
+
+_SPACED = re.compile(r"\s")
 
 
 class ByteBpe:
     """Byte-level tokenizer file behind a memory of recent units.
 
-    A unit is a run without white space with the one space before it, or a run of white space: the
-    file's own splitting pattern never crosses units, so ids of units put together are the ids of the
-    text. Texts that contain a special token's string go to the library whole. New units are encoded
-    many at a time, a line feed between them, and cut apart at the line feed's id."""
+    A text is cut before every space; the file's own splitting pattern never reaches over such a cut,
+    but for ``_JOINED``. So the ids of its units put together are the ids of the text. Texts with such
+    places or with a special token's string go to the library whole. Cutting, numbering equal units and
+    joining their ids are array operations; the library sees every new unit once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
@@ -45,38 +51,79 @@ class ByteBpe:
         self.library.no_padding()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.mark = self._ids("\n")[0]
+        self.letters = dict(enumerate(byte_alphabet()))
+        self.space = self.letters[32]
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit after a space; remembers two generations of units, so memory is bounded."""
         if len(self.units) > _REMEMBERED:
             self.units, self.older = {}, self.units
-        new = []
-        for unit in units.difference(self.units):
-            if (known := self.older.get(unit)) is not None:
-                self.units[unit] = known
-            elif unit.isspace() or "\n" in unit:
-                self.units[unit] = array("H", self._ids(unit)).tobytes()
-            else:
-                new.append(unit)
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            ids = np.array(self._ids("\n".join(part)), np.uint16)
-            cut = np.flatnonzero(ids == self.mark).tolist()
-            raw, begin = ids.tobytes(), 0
-            for unit, end in zip(part, [*cut, len(ids)], strict=True):
-                self.units[unit] = raw[2 * begin:2 * end]
-                begin = end + 1
-        return self.units
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 16-bit integers."""
-        split = [None if any(s in t for s in self.special) else (_EXACT_UNIT if any(c in t for c in "\x1c\x1d\x1e\x1f") else _UNIT).findall(t) for t in texts]
-        known = self._learn(set().union(*(u for u in split if u)))
-        return [array("H", self._ids(t)).tobytes() if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, split)]
+        known, older, tokenize = self.units, self.older, self.library.model.tokenize
+        out = list(map(known.get, units))
+        lone, mixed = [], []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            unit = units[k]
+            if (ids := older.get(unit)) is None:
+                if unit.isalpha():  # one piece for the file's splitting pattern: straight to its merges
+                    inner = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+                    ids = array("H", [t.id for t in tokenize(self.space + inner)]).tobytes()
+                else:
+                    (lone if not unit or _SPACED.search(unit) else mixed).append(k)
+                    continue
+            out[k] = known[unit] = ids
+        for k, coded in zip(lone, self.library.encode_batch_fast([" " + units[k] for k in lone], add_special_tokens=False)):
+            out[k] = known[units[k]] = array("H", coded.ids).tobytes()
+        # A line feed between units without white space is a token of its own.
+        ids: list[int] = []
+        for coded in self.library.encode_batch_fast([" " + "\n ".join([units[k] for k in mixed[i:i + _LOT]]) for i in range(0, len(mixed), _LOT)], add_special_tokens=False):
+            ids += coded.ids
+            ids.append(self.mark)
+        flat = np.array(ids, np.uint16)
+        raw, begin = flat.tobytes(), 0
+        for k, end in zip(mixed, (2 * np.flatnonzero(flat == self.mark)).tolist(), strict=True):
+            out[k] = known[units[k]] = raw[begin:end]
+            begin = end + 2
+        return out
+
+    def _whole(self, texts: pa.StringArray) -> np.ndarray:
+        """Which texts have to go to the library whole."""
+        found = pc.match_substring_regex(texts, _JOINED)
+        for content in self.special:
+            found = pc.or_(found, pc.match_substring(texts, content))
+        return found.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) one after the other, unsigned 16-bit, and the number of ids of each."""
+        whole = self._whole(texts)
+        direct = {k: array("H", self._ids(texts[k].as_py())).tobytes() for k in np.flatnonzero(whole).tolist()}
+        if direct:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        pieces = pc.split_pattern(texts, " ")
+        numbered = pieces.flatten().dictionary_encode()
+        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        blobs = self._learn(numbered.dictionary.to_pylist())
+        first = bounds[:-1]
+        index = np.array(numbered.indices)
+        # Units that open a text have no space before them: they are numbered anew behind the others.
+        opening = pc.list_element(pieces, 0).to_pylist()
+        index[first] = len(blobs) + np.arange(len(opening))
+        coded = self.library.encode_batch_fast(opening, add_special_tokens=False)
+        blobs += [direct[k] if k in direct else array("H", c.ids).tobytes() for k, c in enumerate(coded)]
+        # A batch is a few megabytes, or one text of less than 2 GB: 32 bits number its ids.
+        sizes = np.fromiter(map(len, blobs), np.int32, len(blobs)) >> 1
+        pool = np.frombuffer(b"".join(blobs), np.uint16)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each, dtype=np.int32)
+        place = np.repeat(starts[index] - (ends - each), each)
+        place += np.arange(len(place), dtype=np.int32)
+        totals = np.concatenate([[0], ends])
+        return pool[place], totals[bounds[1:]] - totals[first]
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +131,7 @@ def _coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
+def token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 1 << 17) -> DataFrame:
     """(part, seq, n_tokens, n_docs, image): the corpus in ascending id order, null ids last.
 
     Rows with equal ids follow each other by text; a null text counts as empty and has the end id
@@ -93,39 +140,53 @@ def token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    end = array("H", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
-        ids: list[bytes] = []
+        sizes: list[int] = []
+        ids: list[np.ndarray] = []
 
         def shard() -> pa.RecordBatch:
-            sizes = np.array([len(x) // 2 for x in ids], "<u4")
             known = np.array([n is not None for n in names], np.uint8)
-            payload = b"".join([known.tobytes(), np.array([n or 0 for n in names], "<i8").tobytes(), sizes.tobytes()])
-            image = WaveletMatrix.build(np.frombuffer(b"".join(ids), np.uint16)).to_bytes(payload)
+            payload = b"".join([known.tobytes(), np.array([n or 0 for n in names], "<i8").tobytes(), np.array(sizes, "<u4").tobytes()])
+            image = WaveletMatrix.build(np.concatenate(ids)).to_bytes(payload)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([image], pa.binary())],
                 ["part", "seq", "n_tokens", "n_docs", "image"])
 
-        coder = _coder(path)
+        coder, end = _coder(path), np.array([end_id], np.uint16)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                piece = batch.slice(begin, 1000)
-                for name, raw in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist())):
+            for piece in _pieces(batch):
+                flat, counts = coder.encode(piece.column(1))
+                ends = np.cumsum(counts).tolist()
+                for name, count, stop in zip(piece.column(0).to_pylist(), counts.tolist(), ends):
                     names.append(name)
-                    ids.append(raw + end)
-                    held += len(raw) // 2 + 1
+                    sizes.append(count + 1)
+                    ids += [flat[stop - count:stop], end]
+                    held += count + 1
                     if held >= shard_tokens:
                         yield shard()
-                        seq, held, names, ids = seq + 1, 0, [], []
+                        seq, held, names, sizes, ids = seq + 1, 0, [], [], []
         if names:
             yield shard()
 
     return ranged.mapInArrow(run, "part int, seq int, n_tokens long, n_docs long, image binary")
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of bytes of text, one row at least."""
+    size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, n in enumerate(size.tolist()):
+        if held and held + n > _BATCH_BYTES:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def write_shards(shards: DataFrame, path: str) -> None:
     shards.write.parquet(path)
 

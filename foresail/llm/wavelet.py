@@ -26,12 +26,15 @@ class WaveletMatrix:
         planes, zeros, supers = [], [], []
         blocks = -(-len(current) // (64 * _BLOCK_WORDS))
         for k in range(bits - 1, -1, -1):
-            ones = ((current >> current.dtype.type(k)) & current.dtype.type(1)).astype(bool)
+            ones = (current & current.dtype.type(1 << k)).astype(bool)
             words = np.zeros(blocks * _BLOCK_WORDS + 1, "<u8")
             packed = np.packbits(ones, bitorder="little")
             words.view(np.uint8)[:len(packed)] = packed
-            zero, one = np.flatnonzero(~ones), np.flatnonzero(ones)
-            current = np.concatenate([current[zero], current[one]])
+            one, zero = np.flatnonzero(ones), np.flatnonzero(~ones)
+            after = np.empty_like(current)
+            np.take(current, zero, out=after[:len(zero)])
+            np.take(current, one, out=after[len(zero):])
+            current = after
             planes.append(words)
             zeros.append(len(zero))
             supers.append(_super(words))
@@ -111,8 +114,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k].view(np.uint8), count=self.size, bitorder="little").view(bool)
             out = np.empty(self.size, kind)
-            out[~ones] = current[:self.zeros[k]]
-            out[ones] = current[self.zeros[k]:] | kind(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~ones)] = current[:self.zeros[k]]
+            out[np.flatnonzero(ones)] = current[self.zeros[k]:] | kind(1 << (self.bits - 1 - k))
             current = out
         return current
 
