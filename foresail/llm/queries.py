@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.llm import bpe, chat, secrets, simhash, token_store
+from foresail.llm import bpe, chat, quality, secrets, simhash, token_store
 from foresail.llm.common import table
 from foresail.session import scratch_path
 
@@ -27,6 +27,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_table(docs, quality.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     token_store.write_shards(token_store.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
@@ -37,6 +42,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op5_token_store, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op9_bpe)}
 
 SQL: dict[str, str] = {}
