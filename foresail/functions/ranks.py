@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foresail.session import bounded
+from foresail.session import bounded, settle
 
 _ONE = "_one"
 
@@ -107,3 +107,18 @@ def hash_split(df: DataFrame, ident: str, label: str, share: float) -> DataFrame
     return (rows.join(F.broadcast(edge), F.col(label) == F.col("_l"), "left")
             .withColumn("is_test", F.coalesce(F.col("_md5") <= F.col("_cut"), F.lit(False)))
             .drop("_md5", "_l", "_cut"))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the row's place (from 0) in the whole table under ``order``, without a single-task window.
+
+    Range partitions are sorted apart and settled; each partition's rows follow those of the
+    partitions before it. Only the partitions' row counts, one row each, meet in one window. Rows equal
+    under ``order`` get neighbouring places in no fixed order."""
+    at, part, before = f"_{name}_at", f"_{name}_part", f"_{name}_before"
+    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(before) + inside).drop(at, part, before)

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foresail.functions.expr import money, ratio, series_labels
-from foresail.functions.ranks import hash_split, roc_auc
+from foresail.functions.ranks import global_rank, hash_split, roc_auc
 from foresail.operators.leads import lead_features, resolved_leads
 from foresail.schema import MIN_TRAINING_ROWS
 from foresail.session import settle
@@ -33,7 +33,7 @@ def _known(column: str):
 def category_codes(leads: DataFrame, column: str) -> DataFrame:
     """(category, code) in sorted order from 0. Ranks distinct values only."""
     distinct = leads.select(_known(column).alias("category")).distinct()
-    return distinct.withColumn("code", F.dense_rank().over(Window.orderBy("category")) - 1)
+    return global_rank(distinct, [F.col("category")], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def new_categories(leads: DataFrame, column: str, codes: DataFrame) -> DataFrame:

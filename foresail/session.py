@@ -27,7 +27,8 @@ def local_session(name: str = "foresail", cores: str | int = "*", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set."""
+    Only a local master (tests, a laptop) may do without one and gets a temporary folder; on a cluster
+    the executors would not see it, so there a missing folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -35,6 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foresail-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
