@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.llm import bpe, chat, quality, secrets, simhash, token_store
+from foresail.llm import bpe, chat, lines, mixing, quality, secrets, simhash, token_store
 from foresail.llm.common import table
 from foresail.session import scratch_path
 
@@ -38,10 +38,38 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_checksums(token_store.read_shards(spark, path))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op9_bpe)}
-
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op9_bpe, op10_line_dedup)}
+
+SQL: dict[str, str] = {
+    # Words ordered by how many distinct lines have them; pairs that share a word of their prefixes are verified whole.
+    "op10_line_dedup": r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, k - 1 AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(ls[k], '[\x20\x09-\x0D]+'), w -> w <> ''))) AS ws
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM raw)),
+s AS (SELECT row_number() OVER (ORDER BY min((doc_id, line))) AS s, ws, len(ws) AS n FROM l WHERE len(ws) > 0 GROUP BY ws),
+w AS (SELECT s, n, unnest(ws) AS w FROM s),
+f AS (SELECT w, count(*) AS f FROM w GROUP BY w),
+p AS (SELECT * FROM (SELECT s, n, w.w, row_number() OVER (PARTITION BY s ORDER BY f, w.w) AS place FROM w JOIN f ON w.w = f.w) WHERE place <= n - ceil(n * 4 / 5) + 1),
+c AS (SELECT DISTINCT a.s AS s, b.s AS o FROM p a JOIN p b ON a.w = b.w AND b.s < a.s AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone AS (SELECT DISTINCT c.s FROM c JOIN s a ON a.s = c.s JOIN s b ON b.s = c.o
+         WHERE 5 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+r AS (SELECT doc_id, line FROM (SELECT l.doc_id, l.line, s.s, row_number() OVER (PARTITION BY s.s ORDER BY l.doc_id, l.line) AS k FROM l JOIN s ON l.ws = s.ws)
+      WHERE k > 1 OR s IN (SELECT s FROM gone))
+SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, count(r.line) AS n_removed, coalesce(string_agg(CAST(r.line AS VARCHAR), ',' ORDER BY r.line), '') AS removed
+FROM raw d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, len(d.ls)
+""",
+}
