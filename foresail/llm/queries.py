@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.llm import bpe, chat, lines, mixing, quality, secrets, simhash, token_store
-from foresail.llm.common import table
+from foresail.llm import bpe, chat, hamming, lines, mixing, quality, secrets, simhash, token_store
+from foresail.llm.common import settle_table, table
 from foresail.session import scratch_path
 
 
@@ -43,6 +43,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = settle_table(hamming.sign_codes(table(spark, sf_dir, "embeddings")), "sign-codes")
+    return hamming.top_k(codes, codes.where("id % 100 = 0"), k=10)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,13 +57,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op9_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op8_hamming_search, op9_bpe, op10_line_dedup)}
 
 SQL: dict[str, str] = {
+    "op8_hamming_search": """
+WITH c AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS code FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, CAST(bit_count(xor(CAST(q.code AS UBIGINT), CAST(n.code AS UBIGINT))) AS INTEGER) AS distance
+      FROM c q JOIN c n ON q.vec_id <> n.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p) WHERE rank <= 10
+""",
     # Words ordered by how many distinct lines have them; pairs that share a word of their prefixes are verified whole.
     "op10_line_dedup": r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, k - 1 AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(ls[k], '[\x20\x09-\x0D]+'), w -> w <> ''))) AS ws
+l AS (SELECT doc_id, k - 1 AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(ls[k], '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS ws
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM raw)),
 s AS (SELECT row_number() OVER (ORDER BY min((doc_id, line))) AS s, ws, len(ws) AS n FROM l WHERE len(ws) > 0 GROUP BY ws),
 w AS (SELECT s, n, unnest(ws) AS w FROM s),
