@@ -229,11 +229,14 @@ def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, str, str,
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for every row; a null or blank text has no ids. Other columns are not read."""
+    """(doc_id, n_tokens, ids array<int>) for every row; a null or blank text has no ids. Other columns are not read."""
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = [np.array(x[1].split(), np.int32) if x[1] else np.zeros(0, np.int32) for x in _encoded(batch, path)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-    return map_arrow(_narrow(docs, id_col, text_col), rows, "doc_id long, ids array<int>")
+        for begin in range(0, batch.num_rows, 1000):
+            piece = batch.slice(begin, 1000)
+            ids = [np.fromstring(x[1], np.int32, sep=" ") if x[1] else np.zeros(0, np.int32) for x in _encoded(piece, path)]
+            counts = pa.array(map(len, ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column(0), counts, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+    return map_arrow(_narrow(docs, id_col, text_col), rows, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

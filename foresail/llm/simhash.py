@@ -45,15 +45,13 @@ def text_fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, row, fingerprint as a signed long) for every row; a null text counts as empty.
-
-    ``row`` is the row's number within the table as read: a stored table gives the same ones again."""
+    """(doc_id, text_hash, fingerprint as a signed long) for every row; a null text counts as empty."""
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         made = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "row", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "text_hash", "fingerprint"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(narrow, rows, "doc_id long, row long, fingerprint long")
+    text = F.col(text_col).cast("string")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), rows, "doc_id long, text_hash long, fingerprint long")
 
 
 def _offsets(radius: int) -> list[int]:
@@ -156,7 +154,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     prints = settle_table(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
     star = connected(near_links(prints.select("fingerprint").distinct(), radius, tile))
     return prints.join(star.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").select(
-        "doc_id", "row", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+        "doc_id", "text_hash", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, tile: int = 4096) -> DataFrame:
@@ -174,12 +172,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, tile: int = 4096) -> DataFrame:
     """Exactly one row of each SimHash group, with all columns of ``docs``: the smallest id, null ids last.
 
-    Of several such rows the first in the table stays. ``docs`` has to be a stored table, which reads
-    the same way twice."""
+    Of several texts under that id the one of the smallest hash stays; rows that repeat id and text are
+    one document, and one of them stays."""
     rooted = _rooted(docs, id_col, text_col, shingle, radius, seed, tile)
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    tag = "__row"
-    while tag in docs.columns:
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    tag = "__near"
+    while any(c.startswith(tag) for c in docs.columns):
         tag += "_"
-    keep = best.select(F.col("best.row").alias(tag))
-    return docs.withColumn(tag, F.monotonically_increasing_id()).join(keep, tag, "left_semi").drop(tag)
+    none, name, text = (f"{tag}_{c}" for c in ("none", "id", "text"))
+    long_id = F.col(id_col).cast("long")
+    marked = docs.withColumns({none: long_id.isNull(), name: F.coalesce(long_id, F.lit(0).cast("long")), text: F.xxhash64(F.col(text_col).cast("string"))})
+    keep = best.select(F.col("best.none").alias(none), F.coalesce("best.doc_id", F.lit(0).cast("long")).alias(name), F.col("best.text_hash").alias(text))
+    return marked.join(keep, [none, name, text], "left_semi").dropDuplicates([none, name, text]).select(*docs.columns)
