@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.llm import bpe, chat, hamming, lines, mixing, quality, secrets, simhash, token_store
+from foresail.llm import bpe, chat, hamming, lines, mixing, quality, secrets, simhash, suffix_dedup, token_store
 from foresail.llm.common import settle_table, table
 from foresail.session import scratch_path
 
@@ -43,6 +43,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    n_bytes = F.octet_length("text").cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+                        F.shiftright(F.size("ranges"), 1).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = settle_table(hamming.sign_codes(table(spark, sf_dir, "embeddings")), "sign-codes")
     return hamming.top_k(codes, codes.where("id % 100 = 0"), k=10)
@@ -57,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op8_hamming_search, op9_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op7_suffix_dedup, op8_hamming_search, op9_bpe, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op8_hamming_search": """
