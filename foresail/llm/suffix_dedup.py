@@ -1,8 +1,8 @@
 """Remove text that repeats a passage of an earlier document, byte by byte and exactly.
 
 A byte goes if it lies in a string of ``span`` bytes that also starts in a document with a smaller id.
-Equal strings choose the same anchor, the 16 bytes of smallest hash inside them. So all windows of a
-text that share an anchor are cut out as one piece of at most 2 * span - 16 bytes and sent to the
+Equal strings choose the same anchor, the 8 bytes of smallest hash inside them. So all windows of a
+text that share an anchor are cut out as one piece of at most 2 * span - 8 bytes and sent to the
 bucket of the anchor, where every equal window of any document arrives too. A bucket orders the
 suffixes of its pieces by deep-shallow sorting (``suffix_sort``); neighbours with a common prefix of
 ``span`` bytes are equal windows, and the smallest document of each run keeps its bytes.
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from foresail.llm.common import settle_table
 from foresail.llm.suffix_sort import repeated
 
-ANCHOR = 16
-#: Bytes of text cut into pieces at a time, and text whose pieces make one bucket on average.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+ANCHOR = 8
+#: Bytes of text cut into pieces at a time, bytes of pieces packed together, and text whose pieces make one bucket on average.
+BATCH_BYTES, HELD_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 6 << 20
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -41,13 +41,21 @@ class Pieces:
         """One row of bytes per piece with the anchors under each other, zero outside."""
         before = span - ANCHOR
         width = -(-(before + span) // 8) * 8
-        size = (self.left + self.right).astype(np.int64)
-        out = np.zeros((len(size), width), np.uint8)
-        row = np.repeat(np.arange(len(size)) * width + before - self.left, size)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out.reshape(-1)[row + inside] = self.flat[np.repeat(self.begin, size) + inside]
+        out = np.zeros((len(self.left), width), np.uint8)
+        column = np.arange(width, dtype=np.int32) - before
+        for at in range(0, len(out), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            inside = (column >= -self.left[part, None]) & (column < self.right[part, None])
+            source = (self.begin[part] + self.left[part])[:, None] + column
+            out[part][inside] = self.flat[source[inside]]
         return out
 
+    def content(self) -> np.ndarray:
+        """The pieces' bytes one after the other."""
+        size = self.left + self.right
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begin - (ends - size), size) + np.arange(size.sum())]
+
     def take(self, rows: np.ndarray) -> Pieces:
         return Pieces(self.doc[rows], self.key[rows], self.pos[rows], self.left[rows], self.right[rows], self.flat, self.begin[rows])
 
@@ -60,7 +68,7 @@ def cut(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, span: int) -> tu
     ends = np.cumsum(size)
     word = np.ndarray(n + 2 * span - 7, "<u8", flat.data, 0, (1,))
     with np.errstate(over="ignore"):
-        mixed = word[:n + span] * np.uint64(0x9E3779B97F4A7C15) ^ (word[8:n + span + 8] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+        mixed = word[:n + span] * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     best = (mixed & ~_PLACE) | np.arange(len(mixed), dtype=np.uint64)
     windows = span - ANCHOR + 1
@@ -164,16 +172,36 @@ def earlier_windows(pieces: Pieces, span: int) -> tuple[np.ndarray, np.ndarray,
     return _merge(*(np.concatenate(c) for c in zip(*found)))
 
 
-def _pack(pieces: Pieces, rows: np.ndarray) -> bytes:
+def _pack(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, content: np.ndarray) -> bytes:
     """Pieces as one compressed block: documents once, then columns, then the contents."""
-    names, at = np.unique(pieces.key[rows], return_index=True)
-    number = np.searchsorted(names, pieces.key[rows]).astype("<u4")
-    size = (pieces.left[rows] + pieces.right[rows]).astype(np.int64)
-    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    content = pieces.flat[np.repeat(pieces.begin[rows], size) + inside]
-    parts = [names.astype("<i8"), pieces.doc[rows][at].astype("<i8"), number, pieces.pos[rows].astype("<u4"), pieces.left[rows].astype(np.uint8), pieces.right[rows].astype(np.uint8), content]
-    raw = b"".join([struct.pack("<II", len(names), len(rows)), *(p.tobytes() for p in parts)])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    names, at, number = np.unique(key, return_index=True, return_inverse=True)
+    parts = [names.astype("<i8"), doc[at].astype("<i8"), number.astype("<u4"), pos.astype("<u4"), left.astype(np.uint8), right.astype(np.uint8), content]
+    raw = b"".join([struct.pack("<II", len(names), len(key)), *(p.tobytes() for p in parts)])
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+class _Held:
+    """Pieces sorted by bucket, batch by batch, until there is enough to pack."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        self.size = 0
+
+    def add(self, pieces: Pieces, bucket: np.ndarray) -> None:
+        size = pieces.left + pieces.right
+        content = pieces.content()
+        self.parts.append((bucket, [pieces.doc, pieces.key, pieces.pos, pieces.left, pieces.right, np.cumsum(size) - size], content))
+        self.size += len(content)
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        names = np.unique(np.concatenate([p[0] for p in self.parts]))
+        edges = [(np.searchsorted(p[0], names, "left"), np.searchsorted(p[0], names, "right")) for p in self.parts]
+        for k, name in enumerate(names.tolist()):
+            chosen = [(columns, content, low[k], high[k]) for (_, columns, content), (low, high) in zip(self.parts, edges) if low[k] < high[k]]
+            columns = [np.concatenate([c[j][low:high] for c, _, low, high in chosen]) for j in range(5)]
+            text = np.concatenate([content[c[5][low]:c[5][high - 1] + c[3][high - 1] + c[4][high - 1]] for c, content, low, high in chosen])
+            yield name, _pack(*columns, text)
+        self.parts, self.size = [], 0
 
 
 def _unpack(blocks: list[bytes]) -> Pieces:
@@ -194,6 +222,7 @@ def _unpack(blocks: list[bytes]) -> Pieces:
     return Pieces(doc, key, pos, left, right, flat, np.cumsum(size) - size)
 
 
+_NONE = (np.zeros(0, np.int64),) * 3
 _RANGES = pa.schema([("key", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
 
@@ -222,29 +251,36 @@ def piece_blocks(docs: DataFrame, buckets: int, span: int) -> DataFrame:
         if held[0]:
             yield held
 
+    def rows(names: list[int], blocks: list[bytes | None], settled: pa.Table) -> pa.RecordBatch:
+        n, m = len(blocks), settled.num_rows
+        keys = settled["key"].to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names + [k % buckets for k in keys], pa.int64()), pa.array(blocks + [None] * m, pa.binary()),
+             pa.array([None] * n + keys, pa.int64()), pa.array([None] * n + settled["ranges"].to_pylist(), pa.list_(pa.int32()))],
+            ["bucket", "block", "key", "ranges"])
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in batches(source):
-            for name, key, text, offset in _slices(ids, keys, texts, span):
+        held = _Held()
+        for batch in batches(source):
+            for name, key, text, offset in _slices(*batch, span):
                 pieces, hashes = cut(text, np.array(name, np.int64), np.array(key, np.int64), span)
                 if not len(hashes):
                     continue
                 pieces.pos = pieces.pos + offset
                 _, gone = _copies(pieces, pieces.aligned(span))
                 size = pieces.left + pieces.right
-                settled = _range_rows(*_merge(pieces.key[gone], pieces.pos[gone], pieces.pos[gone] + size[gone]))
+                if gone.any():
+                    yield rows([], [], _range_rows(*_merge(pieces.key[gone], pieces.pos[gone], pieces.pos[gone] + size[gone])))
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 left = np.flatnonzero(~gone)
                 left = left[np.argsort(bucket[left], kind="stable")]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[left][1:] != bucket[left][:-1]])) if len(left) else []
-                names, blocks = [], []
-                for begin, end in zip(cuts, np.append(cuts[1:], len(left)) if len(left) else []):
-                    names.append(int(bucket[left[begin]]))
-                    blocks.append(_pack(pieces, left[begin:end]))
-                n, m = len(names), settled.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names + [int(k) % buckets for k in settled["key"].to_pylist()], pa.int64()), pa.array(blocks + [None] * m, pa.binary()),
-                     pa.array([None] * n + settled["key"].to_pylist(), pa.int64()), pa.array([None] * n + settled["ranges"].to_pylist(), pa.list_(pa.int32()))],
-                    ["bucket", "block", "key", "ranges"])
+                held.add(pieces.take(left), bucket[left])
+                if held.size >= HELD_BYTES:
+                    packed = list(held.blocks())
+                    yield rows([k for k, _ in packed], [b for _, b in packed], _range_rows(*_NONE))
+        if held.size:
+            packed = list(held.blocks())
+            yield rows([k for k, _ in packed], [b for _, b in packed], _range_rows(*_NONE))
 
     return docs.mapInArrow(run, "bucket long, block binary, key long, ranges array<int>")
 
