@@ -6,9 +6,10 @@ length and positional filters, and survivors are verified on the whole sets. A l
 equal set or a set that similar occurs earlier in the table (by document id, then line number),
 whether or not that earlier line stays itself.
 
-One earlier witness decides about a line. So each of a set's few rarest words first offers only the
-earliest set that shares it: that settles most members of a large group of variants with one verified
-pair each. Sets still undecided meet all earlier sets of all their prefix words."""
+One earlier witness decides about a line. So by a few words, drawn by hash from its rarer half, each set
+first meets only the earliest set that drew the same word: that settles most members of a large group
+of variants with one verified pair each. Sets still undecided meet all earlier sets of all their
+prefix words."""
 
 from __future__ import annotations
 
@@ -20,16 +21,18 @@ from foresail.llm.common import WORD_BREAK, settle_table
 
 #: Words are counted in this many hash buckets: a fixed size, whatever the vocabulary.
 BUCKETS = 1 << 16
-#: Rarest words by which a set looks for the earliest like set before the full join.
-LEADS = 6
+#: Words that a set draws to look for an earlier like set before the full join.
+LEADS = 2
+#: Words that 64 bits of parity can tell apart; larger sets carry a parity twice, four times, ... as wide.
+PARITY_WORDS, WIDEST = 72, 64
 #: Up to so many documents their ids are broadcast to fetch candidate lines (16 bytes each); beyond, the join shuffles.
 FETCH_ROWS = 1_000_000
 
 Share = tuple[int, int]
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(text, WORD_BREAK), ""))
+def _all_words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
 def _bucket(word: Column) -> Column:
@@ -54,19 +57,38 @@ def _least_overlap(n: Column, m: Column, share: Share) -> Column:
     return F.ceil((n + m) * F.lit(a) / F.lit(a + b))
 
 
+def _parity(tokens: Column) -> Column:
+    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(x)))
+
+
+def _wide_parity(tokens: Column) -> Column:
+    """Parities of the words' classes by their next bits, for sets too large for 64 bits; else null."""
+    width = F.least(F.lit(WIDEST), F.pow(F.lit(2), F.ceil(F.log2(F.size(tokens) / F.lit(PARITY_WORDS)))).cast("int"))
+    of = lambda w: F.transform(F.sequence(F.lit(0), w - 1), lambda j: _parity(F.filter(tokens, lambda x: F.shiftrightunsigned(x, 6) % w == j)))
+    return F.when(F.size(tokens) > PARITY_WORDS, F.get(F.transform(F.array(width), of), 0))
+
+
+def _wide_difference(a: Column, b: Column) -> Column:
+    """Bits in which two wide parities differ, the wider one folded to the other's width."""
+    width = F.least(F.size(a), F.size(b))
+    fold = lambda p, j: F.when(F.size(p) == width, F.get(p, j)).otherwise(F.get(p, j).bitwiseXOR(F.get(p, j + width)))
+    return F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0), lambda acc, j: acc + F.bit_count(fold(a, j).bitwiseXOR(fold(b, j))))
+
+
 def document_lines(docs: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, n_lines, lines): per line with a word its number, set id, size, parity and prefix.
 
     Parity has a bit for every 64th part of the words, flipped by each word in it: two sets differ in at
-    least as many words as their parities in bits. The prefix keeps a 32-bit hash of each word's key; words
+    least as many words as their parities in bits; large sets have a wide parity too. The prefix keeps a 32-bit hash of each word's key; words
     that agree in it only add candidates, which verification drops."""
     a, b = share
 
     def line(text: Column, number: Column) -> Column:
-        tokens = F.sort_array(F.transform(_words(text), key))
-        parity = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+        tokens = F.array_distinct(F.sort_array(F.transform(_all_words(text), key)))
+        drawn = lambda t, k: F.array_min(F.transform(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int")), lambda x: F.hash(F.lit(k), x)))
         cut = F.transform(F.array(tokens), lambda t: F.struct(
-            number.cast("int").alias("line"), F.xxhash64(t).alias("sid"), F.size(t).alias("n"), parity(t).alias("parity"),
+            number.cast("int").alias("line"), F.xxhash64(t).alias("sid"), F.size(t).alias("n"), _parity(t).alias("parity"), _wide_parity(t).alias("wide"), F.array(*(drawn(t, k) for k in range(LEADS))).alias("leads"),
             F.transform(F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * F.lit(a) / F.lit(b)).cast("int") + 1), lambda x: F.hash(x)).alias("prefix")))
         return F.get(cut, 0)
 
@@ -88,7 +110,7 @@ def _fetch(docs: DataFrame, nodes: DataFrame, key: Callable[[Column], Column], i
     narrow = docs.select(_first(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     texts = narrow.join(F.broadcast(where) if small else where, "doc")
     lines = texts.select("wanted", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.array_contains("wanted", F.col("line")))
-    tokens = lines.select(F.sort_array(F.transform(_words(F.col("t")), key)).alias("tokens")).select(F.xxhash64("tokens").alias("sid"), "tokens")
+    tokens = lines.select(F.array_distinct(F.sort_array(F.transform(_all_words(F.col("t")), key))).alias("tokens")).select(F.xxhash64("tokens").alias("sid"), "tokens")
     return tokens.groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
@@ -103,38 +125,43 @@ def _verified(pairs: DataFrame, tokens: DataFrame, share: Share) -> DataFrame:
 def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(sets, decided): every set's first place, and the ids of sets that resemble an earlier other set."""
     each = lines.select(_first().alias("doc"), F.explode("lines").alias("x")).select("doc", "x.*")
-    firsts = lambda *more: each.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "parity", *more)).alias("m")).select("sid", "m.*")
-    n, m = F.col("n"), F.col("o.n")
+    every_set = settle_table(each.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "parity", "wide", "leads", "prefix")).alias("m")).select("sid", "m.*"), "line-sets")
+    # Line and size share one number: fewer columns make smaller rows.
+    high = lambda c: F.shiftright(c, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    n, m = low("size"), low("o.size")
     overlap = _least_overlap(n, m, share)
     fits = (
-        (F.struct("o.doc", "o.line", "o.sid") < F.struct("doc", "line", "sid"))
+        (F.struct("o.doc", "o.size", "o.sid") < F.struct("doc", "size", "sid"))
         & (F.least(n, m) * share[1] >= F.greatest(n, m) * share[0])
         & (F.least(n - F.col("pos"), m - F.col("o.pos")) >= overlap)
         & (F.bit_count(F.col("parity").bitwiseXOR(F.col("o.parity"))) <= n + m - 2 * overlap)
+        & (F.col("wide").isNull() | F.col("o.wide").isNull() | (_wide_difference(F.col("wide"), F.col("o.wide")) <= n + m - 2 * overlap))
     )
     # Below this size only equal sets are similar enough.
     joinable = F.col("n") * (share[1] - share[0]) >= share[0]
-    gram = ("doc", "line", "sid", "n", "pos", "parity")
+    gram = ("doc", "size", "sid", "pos", "parity", "wide")
 
-    def grams(prefix: Column, sets: DataFrame) -> DataFrame:
-        rows = sets.where(joinable).select("sid", "doc", "line", "n", "parity", *sets.columns[6:], F.posexplode(prefix).alias("pos", "token"))
-        return rows.repartition("token")  # one exchange that both sides of a self-join read
+    def grams(words: str, sets: DataFrame, *more: str) -> DataFrame:
+        """A row per set and word; a drawn word has no place in the order and takes the first."""
+        rows = sets.where(joinable).select("sid", "doc", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("n")).alias("size"), "parity", "wide", *more, F.posexplode(words).alias("pos", "token"))
+        return (rows if words == "prefix" else rows.withColumn("pos", F.lit(0))).repartition("token")
 
     def check(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("sid", "doc", "line").union(pairs.select("other", "odoc", "oline")).distinct()
         return _verified(pairs.select("sid", "other"), settle_table(_fetch(docs, nodes, key, id_col, text_col), "line-tokens"), share)
 
-    lead = grams(F.col("prefix"), firsts(F.slice("prefix", 1, LEADS).alias("prefix")))
+    pair = ("sid", "doc", high("size").alias("line"), F.col("o.sid").alias("other"), F.col("o.doc").alias("odoc"), high("o.size").alias("oline"))
+    lead = grams("leads", every_set)
     earliest = lead.groupBy("token").agg(F.min(F.struct(*gram)).alias("o"))
-    found = lead.join(earliest, "token").where(fits).select("sid", "doc", "line", F.struct("o.sid", "o.doc", "o.line").alias("o"))
-    one = found.groupBy("sid", "doc", "line").agg(F.min("o").alias("o")).select("sid", "doc", "line", F.col("o.sid").alias("other"), F.col("o.doc").alias("odoc"), F.col("o.line").alias("oline"))
+    found = lead.join(earliest, "token").where(fits).select(*pair)
+    one = found.groupBy("sid", "doc", "line").agg(F.min(F.struct("odoc", "oline", "other")).alias("o")).select("sid", "doc", "line", "o.*")
     decided = settle_table(check(settle_table(one, "line-pairs")), "line-decided")
 
-    sets = firsts("prefix").join(decided.withColumn("done", F.lit(True)), "sid", "left")
-    every = grams(F.col("prefix"), sets.select("sid", "doc", "line", "n", "parity", "prefix", "done"))
+    every = grams("prefix", every_set.join(decided.withColumn("done", F.lit(True)), "sid", "left"), "done")
     probe, partner = every.where("done is null").drop("done"), every.select("token", F.struct(*gram).alias("o"))
-    more = probe.join(partner, "token").where(fits).select("sid", "doc", "line", F.col("o.sid").alias("other"), F.col("o.doc").alias("odoc"), F.col("o.line").alias("oline")).distinct()
-    return firsts().select("sid", "doc", "line"), decided.union(check(settle_table(more, "line-pairs"))).distinct()
+    more = probe.join(partner, "token").where(fits).select(*pair).distinct()
+    return every_set.select("sid", "doc", "line"), decided.union(check(settle_table(more, "line-pairs"))).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: Share = (4, 5)) -> DataFrame:

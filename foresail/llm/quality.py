@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foresail.llm.common import WORD_BREAK
+from foresail.llm.common import WORD_BREAK, settle_table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share")
@@ -169,9 +169,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     judged = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) < 0.5).alias("bad"))
     picked = judged.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most max_rows rows
-    stats = texts.select("id", "bad", text_statistics(F.col("text")).alias("s")).where(~base_failed(F.col("s")))
-    values = features(F.col("s"))
-    rows = stats.select("id", "bad", F.struct(*(values[f].alias(f) for f in FEATURES)).alias("f")).groupBy("id", "bad").agg(F.min("f").alias("f")).orderBy(F.xxhash64("id"), "id").collect()
+    judged_text = _let(text_statistics(F.col("text")), lambda s: F.struct(base_failed(s).alias("failed"), *(c.alias(f) for f, c in features(s).items())))
+    stats = settle_table(texts.select("id", "bad", judged_text.alias("f")), "quality-sample").where(~F.col("f.failed"))
+    rows = stats.groupBy("id", "bad").agg(F.min(F.struct(*(f"f.{f}" for f in FEATURES))).alias("f")).orderBy(F.xxhash64("id"), "id").collect()
     return learn_rules(np.array([tuple(r.f) for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.bad for r in rows], bool), **how)
 
 
@@ -196,8 +196,5 @@ def quality_table(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the decision list, with all their columns."""
-    tag = "__stats"
-    while tag in docs.columns:
-        tag += "_"
-    s = F.col(tag)
-    return docs.withColumn(tag, text_statistics(F.col(text_col))).where(~base_failed(s) & verdict(s, rules)).drop(tag)
+    # One expression, so that pushing the filter down cannot compute the statistics once per threshold.
+    return docs.where(_let(text_statistics(F.col(text_col)), lambda s: ~base_failed(s) & verdict(s, rules)))
