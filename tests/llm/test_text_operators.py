@@ -1,0 +1,138 @@
+"""Secrets, chat, quality, tokens and BPE against plain Python."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from foresail.llm import automata, bpe, chat, common, quality, secrets, token_store
+from foresail.llm.wavelet import WaveletMatrix
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SAID = "</s>[INST] ok [/INST]"
+
+
+def test_escape_round_trip():
+    for text in ("", SAID, "\\" + SAID + "\\\\", "\\\\[INST]", "a\\", "<s><s>\\</s>"):
+        coded = chat.escape(text)
+        assert chat.unescape(coded) == text
+        assert all((len(m[1]) % 2) for m in re.finditer(rf"(\\*)(?:{chat._ANY})", coded))
+
+
+def test_chat_reads_back(spark):
+    rows = [(1, 1, "assistant", SAID), (1, 0, "user", None), (1, 2, None, "x\\"), (1, 3, "tool", "[TEXT]"), (None, None, "assistant", "ñ" * 20_000), (2, 0, "system", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = common.settle_table(chat.format_chat(turns, path, part_tokens=64), "chat")
+    got = {r.conv_id: r for r in chat.read_chat(parts, path).collect()}
+    expect = hashlib.sha256(f"user\n\nassistant\n{SAID}\n\nx\\\ntool\n[TEXT]\n".encode()).hexdigest()
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (4, expect, len(SAID))
+    assert got[None].loss_sha256 == hashlib.sha256(("ñ" * 20_000).encode()).hexdigest() and got[2].loss_chars == 0
+    assert chat.read_chat(chat.format_chat(turns.limit(0), path), path).count() == 0
+
+
+def test_secrets(spark, odd_docs, documents):
+    table = {r.doc_id: r for r in secrets.span_digest(secrets.find_secrets(odd_docs)).collect()}
+    assert (table[9].n_assign, table[9].n_access, table[9].n_hex) == (1, 1, 1)
+    assert table[9].spans.startswith("assign:0:25,access:26:46,hex:47:71") and table[3].spans == ""
+    assert table[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for row in documents.limit(100).collect():
+        spans = secrets.base_spans(row.text)
+        assert all(k != 2 or re.fullmatch("[0-9a-f]{24,}", row.text[s:e]) for s, k, e, _ in spans)
+    assert secrets.find_secrets(odd_docs.limit(0)).count() == 0
+
+
+def test_automaton_prefers_its_format():
+    rng = np.random.default_rng(3)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(300)]
+    words = ["".join(rng.choice(list("etaoinshr"), 18)) for _ in range(300)]
+    model = secrets.FormatModel({"hex": hexes[:200], "plain": words[:200]})
+    assert all(map(model.accepts, hexes[200:])) and not any(map(model.accepts, words[200:]))
+    assert len(automata.Automaton(hexes).accepted) < 200  # merged, not the prefix tree
+
+
+def _brute_stats(text):
+    words = WORD.findall(text or "")
+    seen = collections.Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+    inside = {k for i in range(len(words) - 4) if seen[tuple(words[i:i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_statistics(odd_docs, documents):
+    for docs in (odd_docs, documents):
+        rows = docs.select("doc_id", "text").collect()
+        got = quality.quality_table(docs, []).collect()
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted((key((r.doc_id, *r[1:6])) for r in got)) == sorted(key((r.doc_id, *_brute_stats(r.text))) for r in rows)
+    assert quality.keep_good(odd_docs, []).columns == odd_docs.columns
+
+
+def test_rules_find_the_planted_threshold():
+    rng = np.random.default_rng(1)
+    rows = rng.random((900, len(quality.FEATURES)))
+    rules = quality.learn_rules(rows, (rows[:, 2] > 0.7) & (rows[:, 3] < 0.5))
+    assert rules and all({t.feature for t in r} <= {"symbol_share", "dup_line_share"} for r in rules)
+    assert quality.learn_rules(rows[:0], np.zeros(0, bool)) == []
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 512, 5000])
+def test_wavelet_matrix(size):
+    ids = np.random.default_rng(size).integers(0, 50, size).astype(np.uint16)
+    matrix, payload = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes(b"names"))
+    assert payload == b"names" and (matrix.values() == ids).all()
+    if size:
+        at = np.arange(size)
+        assert (matrix.access(at) == ids).all()
+    for symbol in (0, 7, 49, 60):
+        assert (matrix.occurrences(symbol) == np.flatnonzero(ids == symbol)).all()
+        assert matrix.rank(symbol, size // 2) == (ids[:size // 2] == symbol).sum()
+
+
+def test_token_shards(spark, odd_docs, documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for docs in (odd_docs, documents):
+        shards = common.settle_table(token_store.token_shards(docs, path, shard_tokens=3000), "shards")
+        rows = token_store.document_checksums(shards).orderBy("start").collect()
+        texts = sorted(((r.doc_id is None, r.doc_id or 0) for r in docs.collect()))
+        assert [(r.doc_id is None, r.doc_id or 0) for r in rows] == texts
+        start = 0
+        for r in rows:
+            assert r.start == start
+            start += r.n_tokens
+        crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+        assert collections.Counter(r.ids_crc32 for r in rows) == collections.Counter(crc(r.text) for r in docs.collect())
+        assert {r.token_id: r.n for r in token_store.token_counts(shards, [2, 7]).collect()}[2] == token_store.occurrences(shards, [2]).count()
+    assert token_store.token_shards(odd_docs.limit(0), path).count() == 0
+
+
+def test_byte_units_equal_the_library():
+    import pyarrow as pa
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_store.ByteBpe(path)
+    texts = ["", "   ", "a   b", "a \n b", " \t x", "x  <|endoftext|> y", "a\x1c b", "\x85 \x85", "日本 語  😀", "'s don't ", "\r\n \r\n"]
+    ids, counts = own.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends, counts):
+        assert ids[end - n:end].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_word_bpe_equals_the_library(spark, odd_docs, documents):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    extra = ["İSTANBUL ΣΑΣ don't", "<|endoftext|>a<|startoftext|>", "é \x1cq\x85r", "a" * 3000, "½ ² १२", "﻿​"]
+    docs = odd_docs.select("doc_id", "text").union(documents.select("doc_id", "text")).union(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs, path).collect())
+    def brute(r):
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        return r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+    assert got == collections.Counter(map(brute, docs.collect()))
+    coded = bpe.encode(odd_docs, path)
+    assert bpe.decode(coded, path).count() == odd_docs.count() and bpe.encode(odd_docs.limit(0), path).count() == 0
