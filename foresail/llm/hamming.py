@@ -60,7 +60,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             F.col("code").alias("query"), "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).alias("p")
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
         hit = (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("bound"))
-        now = probes.join(index.alias("i"), hit).select("query", "code", "n", distance.alias("distance"))
+        # The planner sees a few query codes, not their thousands of probes: without the hint it would broadcast them.
+        now = probes.hint("merge").join(index.alias("i"), hit).select("query", "code", "n", distance.alias("distance"))
         found = (now if found is None else found.union(now)).distinct()
         upto = F.sum("n").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
         each = Window.partitionBy("query")
