@@ -53,14 +53,18 @@ def clip(c: Column, low=None, high=None) -> Column:
 
 
 def series_labels(keys: Sequence[str]) -> Column:
-    """Array of the series a row belongs to: ALL and, if every key is known, its own segment."""
+    """Array of the series a row belongs to: ALL and, if every key is known, its own segment.
+
+    One label stands for one segment: with several keys, ``|`` and backslash in a value are escaped by
+    a backslash; with one key, values that read like ALL or like a prefixed value get the key before them."""
     if not keys:
         return F.array(F.lit(ALL))
     if len(keys) == 1:
         k = F.col(keys[0])
-        own = F.when(k == ALL, F.concat(F.lit(f"{keys[0]}="), k)).otherwise(k)
+        own = F.when((k == ALL) | F.startswith(k.cast("string"), F.lit(f"{keys[0]}=")), F.concat(F.lit(f"{keys[0]}="), k)).otherwise(k)
     else:
-        own = F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.col(k)) for k in keys])
+        plain = lambda k: F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        own = F.concat_ws("|", *[F.concat(F.lit(f"{k}="), plain(k)) for k in keys])
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()

@@ -82,9 +82,11 @@ def dampen_start(forecast: DataFrame, recent_mean: str = "plain_mean_6") -> Data
 
 
 def _draw(i: Column) -> Column:
-    """Standard normal draw of the position (fixed list; positions past it get none)."""
+    """Standard normal draw of a position: the fixed list, beyond it a Box-Muller draw from the position's hash."""
     z = F.array(*[F.lit(v) for v in SEED42_NORMALS])
-    return F.coalesce(F.try_element_at(z, i), F.lit(0.0))
+    uniform = lambda seed: (F.pmod(F.xxhash64(F.lit(seed), i.cast("long")), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    later = F.sqrt(-2 * F.log(uniform(42))) * F.cos(2 * F.pi() * uniform(43))
+    return F.coalesce(F.try_element_at(z, i), later)
 
 
 def _numbered(forecast: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from foresail.schema import DATE_COLUMNS, LEAD, REQUIRED_COLUMNS
 # fixed values: cell texts that mean "no value" in CSV files
 NO_VALUE = ("", "#N/A", "#NA", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# date spellings that are understood, the first that fits counts; slashes put the month first
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy")
+
 
 def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -21,10 +24,11 @@ def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED_COLUMNS) ->
 
 
 def coerce_dates(df: DataFrame, columns: Sequence[str] = DATE_COLUMNS) -> DataFrame:
-    """Parse yyyy-MM-dd text; blank or impossible dates become null. Absent columns are skipped."""
-    return df.withColumns({
-        c: F.expr(f"CAST(try_to_timestamp(nullif(trim(CAST(`{c}` AS STRING)), ''), 'yyyy-MM-dd') AS DATE)")
-        for c in columns if c in df.columns})
+    """Parse date text in any of DATE_FORMATS; blank or impossible dates become null. Absent columns are skipped."""
+    def parsed(c: str):
+        text = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+        return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("date")
+    return df.withColumns({c: parsed(c) for c in columns if c in df.columns})
 
 
 def typed_leads(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -37,6 +41,8 @@ def typed_leads(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.IntegerType)):
             number = F.col(f.name).try_cast("double")
+            if isinstance(f.dataType, T.IntegerType):  # a fraction or a number out of range is no value
+                number = F.when(number == F.rint(number), number).try_cast(f.dataType)
             out.append(number.cast(f.dataType).alias(f.name))
         else:
             out.append(F.col(f.name))
