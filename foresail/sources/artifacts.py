@@ -24,7 +24,9 @@ class ArtifactStore:
     def load_table(self, name: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self._path(name))
-        except AnalysisException:
+        except AnalysisException as error:  # only a missing path means that nothing was saved
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def save_model(self, name: str, model: ConversionModel) -> None:

@@ -21,12 +21,14 @@ _UPLOAD = r".*(\d{8}_\d{6})"
 def upload_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """Stream of parsed lead rows with the time stamp in their file's path (``..._yyyyMMdd_HHmmss...``).
 
-    Files carry the lead columns in schema order; header, blank and comment lines are skipped."""
+    Files carry the lead columns in schema order; header, blank and comment lines are skipped. A file
+    without a time stamp fails the batch: its rows could not be told newer or older."""
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(landing).select(
-        "value", F.regexp_extract("_metadata.file_path", _UPLOAD, 1).alias("uploaded"))
+    stamp = F.regexp_extract("_metadata.file_path", _UPLOAD, 1)
+    unnamed = F.raise_error(F.concat(F.lit("no time stamp in the name of "), F.col("_metadata.file_path"))).cast("string")
+    lines = reader.load(landing).select("value", F.when(stamp == "", unnamed).otherwise(stamp).alias("uploaded"))
     rows = data_lines(lines).filter(~F.ltrim("value").startswith(f"{LEAD_COLUMNS[0]},"))
     return typed_leads(split_cells(rows, LEAD_COLUMNS, ["uploaded"]), ["uploaded"])
 
@@ -43,11 +45,14 @@ def append_uploads(spark: SparkSession, landing: str, log: str, checkpoint: str,
 
 
 def current_leads(spark: SparkSession, log: str) -> DataFrame:
-    """Newest state of every lead. Combined per lead before the shuffle."""
+    """Newest state of every lead, combined per lead before the shuffle. Rows without an id have no
+    newer state to be replaced by: each stays as it is."""
     rest = [c for c in LEAD_COLUMNS if c != "lead_id"]
     newest = F.max(F.struct("uploaded", *rest))
-    return (spark.read.parquet(log).groupBy("lead_id").agg(newest.alias("s"))
-            .select("lead_id", *[F.col(f"s.{c}").alias(c) for c in rest]).select(*LEAD_COLUMNS))
+    rows = spark.read.parquet(log)
+    known = (rows.filter(F.col("lead_id").isNotNull()).groupBy("lead_id").agg(newest.alias("s"))
+             .select("lead_id", *[F.col(f"s.{c}").alias(c) for c in rest]).select(*LEAD_COLUMNS))
+    return known.union(rows.filter(F.col("lead_id").isNull()).select(*LEAD_COLUMNS))
 
 
 def stream_monthly_revenue(spark: SparkSession, landing: str, log: str, checkpoint: str,

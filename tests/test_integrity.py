@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from foresail.functions.expr import series_labels
 from foresail.functions.ranks import global_rank
 from foresail.operators.forecasts import _draw
+from foresail.schema import LEAD_COLUMNS
 from foresail.sources.csv_leads import coerce_dates, typed_leads
+from foresail.streaming.uploads import current_leads
 
 
 def test_labels_are_distinct(spark):
@@ -36,3 +38,11 @@ def test_draws_do_not_run_out(spark):
 def test_global_rank(spark):
     ranked = global_rank(spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(7), [F.col("v")], "place")
     assert all(r.v == r.place for r in ranked.collect())
+
+
+def test_rows_without_id_stay_apart(spark, tmp_path):
+    fields = ", ".join(f"{c} string" for c in LEAD_COLUMNS)
+    row = lambda ident, stage: tuple(ident if c == "lead_id" else stage if c == "current_stage" else None for c in LEAD_COLUMNS)
+    log = spark.createDataFrame([row(None, "lost"), row(None, "lost"), row("A", "inquiry"), row("A", "lost")], fields)
+    log.withColumn("uploaded", F.when(F.col("current_stage") == "lost", "2").otherwise("1")).write.parquet(str(tmp_path / "log"))
+    assert sorted((r.lead_id or "", r.current_stage) for r in current_leads(spark, str(tmp_path / "log")).collect()) == [("", "lost"), ("", "lost"), ("A", "lost")]
