@@ -604,7 +604,7 @@ def f2_stratified_split(spark, sf):
 
 
 def _model(spark, sf):
-    return M.train_conversion_model(_leads(spark, sf), rounds=20)
+    return M.train_conversion_model(_leads(spark, sf))
 
 
 @query

@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from foresail.functions.ranks import exact_median, hash_split, roc_auc
@@ -106,6 +107,30 @@ def test_trees_learn_and_survive_a_round_trip(spark, make_leads, tmp_path):
     assert a == pytest.approx(sorted(r.score for r in store.load_model("m").score(cube).collect()))
 
 
+def test_rounds_stop_after_ten_without_gain():
+    dip = [5, 4, 4.1, 4.2, 3, *[3.5] * 9, 2.9, *[3.2] * 10, 1]
+    assert M.best_round(dip, 10) == 15 and M.best_round(dip[:14], 10) == 5 and M.best_round([1], 10) == 1
+
+
+def test_queries_train_all_rounds(monkeypatch):
+    from foresail.plans import catalog
+    seen = []
+    monkeypatch.setattr(catalog, "_leads", lambda spark, sf: None)
+    monkeypatch.setattr(M, "train_conversion_model", lambda leads, **more: seen.append(more))
+    catalog._model(None, "")
+    assert seen == [{}]
+
+
+def test_trees_are_those_of_the_best_round(make_leads):
+    leads = make_leads(resolved(400))
+    model, cube = M.train_conversion_model(leads, rounds=9, patience=2)
+    data = model.trees.stages[0].transform(M._encoded(cube, model.codes).withColumn("converted", F.col("converted").cast("double")))
+    whole = GBTClassifier(labelCol="converted", weightCol="weight", maxDepth=4, maxIter=9, stepSize=0.1, seed=42, cacheNodeIds=False).fit(data.filter("not is_test"))
+    losses = whole.evaluateEachIteration(data.filter("is_test"))
+    got = model.trees.stages[-1].evaluateEachIteration(data.filter("is_test"))
+    assert len(losses) == 9 and len(got) == M.best_round(losses, 2) and got == pytest.approx(losses[:len(got)])
+
+
 def test_lookup_tables_are_broadcast_only_when_small(spark):
     from foresail.session import bounded
     big, small = spark.range(50), spark.range(5)
