@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -63,17 +64,23 @@ def split_cells(lines: DataFrame, names: Sequence[str], keep: Sequence[str] = ()
 
 
 def read_leads_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Leads from one or many CSV files with the same header line.
-
-    Only the header line reaches the driver; lines are filtered and parsed by the executors."""
-    lines = data_lines(spark.read.text(path))
-    first = lines.head()
-    if first is None:
+    """Leads from one or many CSV files, each parsed by its own header line.
+
+    Only the distinct header lines reach the driver; lines are filtered and parsed by the executors."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = data_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")))
+    # a file of comments and empty rows alone has no header
+    first = (lines.filter(~F.col("value").rlike(r"^[\s,]*$")).groupBy("file")
+             .agg(F.trim(F.min_by("value", "place")).alias("header")))
+    headers = sorted(r.header for r in first.select("header").distinct().collect())
+    if not headers:
         raise ValueError(f"no data lines in {path}")
-    header = first["value"].strip()
-    names = [n.strip() for n in next(csv.reader([header]))]
-    raw = split_cells(lines.filter(F.trim("value") != header), names)
-    return typed_leads(require_columns(raw)).dropna("all")
+    read = []
+    for header in headers:
+        own = lines.join(first.filter(F.col("header") == header), "file") if len(headers) > 1 else lines
+        names = [n.strip() for n in next(csv.reader([header.strip()]))]
+        read.append(typed_leads(require_columns(split_cells(own.filter(F.trim("value") != header), names))))
+    return reduce(DataFrame.unionByName, read).dropna("all")
 
 
 def write_leads_csv(leads: DataFrame, path: str) -> None:

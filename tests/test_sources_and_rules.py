@@ -190,3 +190,14 @@ def test_stream_keeps_the_newest_state_and_resumes(spark, tmp_path):
     batch = csv_leads.read_leads_csv(spark, [str(landing / "leads_20240301_080000.csv")]).unionByName(
         csv_leads.read_leads_csv(spark, [str(landing / "leads_20240101_080000.csv")]).filter("lead_id = 'B'"))
     assert monthly_revenue(again).collect() == monthly_revenue(batch).collect()
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    from foresail.schema import LEAD_COLUMNS
+    from foresail.sources.csv_leads import read_leads_csv
+    cells = {c: "" for c in LEAD_COLUMNS} | {"lead_id": "L1", "destination": "Oslo", "trip_price": "10.5", "inquiry_date": "2024-01-02"}
+    for name, order, ident in (("a.csv", list(LEAD_COLUMNS), "L1"), ("b.csv", list(LEAD_COLUMNS)[::-1], "L2")):
+        row = cells | {"lead_id": ident}
+        (tmp_path / name).write_text("\n".join(["# note", ",".join(order), ",".join(row[c] for c in order)]) + "\n")
+    got = sorted((r.lead_id, r.destination, r.trip_price, str(r.inquiry_date)) for r in read_leads_csv(spark, str(tmp_path)).collect())
+    assert got == [(i, "Oslo", 10.5, "2024-01-02") for i in ("L1", "L2")]
