@@ -9,7 +9,7 @@ from foresail.operators import leads as B, rates as R, series as S, stats as ST
 from foresail.plans import catalog
 from foresail.plans.forecast import lead_cube
 from foresail.sources.tables import leads_from_orders, supplier_sales
-from conftest import SMALL
+from places import SMALL
 
 
 def plan(df):
