@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foresail.llm import bpe, chat, hamming, lines, mixing, quality, secrets, simhash, suffix_dedup, token_store
+from foresail.llm import bpe, chat, hamming, lines, mixing, quality, runs, secrets, simhash, suffix_dedup, token_store, toxicity, vector_codes
 from foresail.llm.common import settle_table, table
 from foresail.session import scratch_path
 
@@ -64,7 +64,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op7_suffix_dedup, op8_hamming_search, op9_bpe, op10_line_dedup)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_model(docs, labels.where(~toxicity.is_held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.made_periodic().alias("text"))
+    found = runs.find_runs(docs).withColumn("best", runs.longest_run(F.col("runs")))
+    lines_of = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines_of, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.book_digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_simhash, op4_quality_rules, op5_token_store, op6_mixing, op7_suffix_dedup, op8_hamming_search, op9_bpe, op10_line_dedup,
+                                     op11_toxicity, op12_periodic_runs, op13_vector_codes)}
 
 SQL: dict[str, str] = {
     "op8_hamming_search": """
