@@ -44,10 +44,10 @@ def monthly_revenue(leads: DataFrame, keys: Sequence[str] = (), as_of=None) -> D
     trips = as_of_cutoff(completed_trips(leads), as_of)
     per_segment = (trips.groupBy(*keys, month_of(F.col("trip_date")).alias("month"))
                    .agg(F.sum(money(F.col("trip_price"))).alias("r"), F.count("lead_id").alias("n")))
-    return _finish_monthly(roll_up(per_segment, keys, ["month"], {"r": "r", "n": "n"}))
+    return finish_monthly(roll_up(per_segment, keys, ["month"], {"r": "r", "n": "n"}))
 
 
-def _finish_monthly(rolled: DataFrame) -> DataFrame:
+def finish_monthly(rolled: DataFrame) -> DataFrame:
     return rolled.select("series_id", "month",
                          F.coalesce(F.col("r"), F.lit(0)).cast("double").alias("revenue"),
                          F.col("n").alias("trip_count"))

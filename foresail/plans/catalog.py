@@ -102,6 +102,17 @@ def a1_read_leads_csv(spark, sf):
     return csv_leads.read_leads_csv(spark, path)
 
 
+@query
+def a1_read_mixed_csv(spark, sf):
+    """Two folders with their columns in other orders; sources with commas, quotes and line breaks, one extra column."""
+    leads = _leads(spark, sf).withColumn("lead_source", F.when(F.substring("lead_id", 6, 20).cast("long") % 3 == 0, F.concat(
+        "lead_source", F.lit('\nby "phone", twice\nand mail'))).otherwise(F.col("lead_source")))
+    path = scratch_path(spark, "mixed-csv")
+    csv_leads.write_leads_csv(leads.filter("is_repeat_customer = 0"), f"{path}/one")
+    csv_leads.write_leads_csv(leads.filter("is_repeat_customer = 1").select(F.lit("x\ny").alias("remark"), *reversed(leads.columns)), f"{path}/two")
+    return csv_leads.read_leads_csv(spark, [f"{path}/one", f"{path}/two"])
+
+
 @query
 def a2_require_columns(spark, sf):
     return csv_leads.require_columns(_leads(spark, sf)).agg(F.count(F.lit(1)).alias("leads"))
@@ -779,12 +790,12 @@ def h4_first_forecast_months(spark, sf):
 
 @query
 def k1_stream_monthly_revenue(spark, sf):
-    """Two uploads: all leads at twice their price, then those inquired since 2000 as they are."""
+    """Two uploads: all leads at twice their price, then those inquired since 2000 as they are, columns reversed."""
     landing = scratch_path(spark, "landing")
     leads = _leads(spark, sf)
     csv_leads.write_leads_csv(leads.withColumn("trip_price", F.col("trip_price") * 2),
                               f"{landing}/leads_20010701_080000")
-    csv_leads.write_leads_csv(leads.filter(F.col("inquiry_date") >= as_date("2000-01-01")),
+    csv_leads.write_leads_csv(leads.filter(F.col("inquiry_date") >= as_date("2000-01-01")).select(*reversed(leads.columns)),
                               f"{landing}/leads_20010801_080000")
-    return rounded(stream_monthly_revenue(spark, f"{landing}/*", scratch_path(spark, "lead-log"),
-                                          scratch_path(spark, "stream-state"), KEYS, AS_OF))
+    return rounded(stream_monthly_revenue(spark, f"{landing}/*", scratch_path(spark, "lead-state"),
+                                          scratch_path(spark, "stream-state"), KEYS, AS_OF, buckets=16))

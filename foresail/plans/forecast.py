@@ -15,7 +15,7 @@ from foresail.functions.expr import as_date, money, month_of, months_after
 from foresail.operators import forecasts as P
 from foresail.operators.reporting import combined_series, monthly_bookings
 from foresail.operators.rates import SEGMENT, rates_from_counts, rule_totals, weighted_open_value
-from foresail.operators.series import (_finish_monthly, drop_anomalous_last_month, roll_up, series_profile,
+from foresail.operators.series import (finish_monthly, drop_anomalous_last_month, roll_up, series_profile,
                                        trimmed_series)
 from foresail.plans.trend import seasonal_forecast
 from foresail.schema import ACTIVE_STAGES, FUNNEL_STAGES, STAGE_DATE
@@ -45,7 +45,7 @@ def lead_cube(leads: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
 
 def cube_monthly(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Monthly revenue and trips up to the cube's date."""
-    return _finish_monthly(roll_up(cube.filter("past"), keys, ["month"], {"r": "value", "n": "trips"}))
+    return finish_monthly(roll_up(cube.filter("past"), keys, ["month"], {"r": "value", "n": "trips"}))
 
 
 def cube_bookings(cube: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -441,6 +441,8 @@ def oracle_sql() -> dict[str, str]:
                           for c in ("inquiry_date", "trip_date", "booking_date", "quote_date", "final_payment_date"))
     return {
         "a1_read_leads_csv": _sql("leads", f"SELECT {leads_cols} FROM leads"),
+        "a1_read_mixed_csv": _sql("leads", f"""SELECT {leads_cols} FROM (SELECT * REPLACE (CASE WHEN CAST(substr(lead_id, 6) AS BIGINT) % 3 = 0
+            THEN concat(lead_source, chr(10), 'by "phone", twice', chr(10), 'and mail') ELSE lead_source END AS lead_source) FROM leads)"""),
         "a2_require_columns": _sql("leads", "SELECT count(*) AS leads FROM leads"),
         "a3_coerce_dates": _sql("leads", f"SELECT lead_id, {date_case} FROM leads"),
         "a4_export_series_csv": _sql("points", """SELECT series_id, month, strftime(month, '%b %Y') AS date_text,

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from foresail.schema import DATE_COLUMNS, LEAD, REQUIRED_COLUMNS
+from foresail.schema import DATE_COLUMNS, LEAD, LEAD_COLUMNS, REQUIRED_COLUMNS
+from foresail.sources.csv_records import named_cells, placed_lines
 
 # fixed values: cell texts that mean "no value" in CSV files
 NO_VALUE = ("", "#N/A", "#NA", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -55,33 +54,23 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.col("value").rlike(r"^\s*(#|$)"))
 
 
-def split_cells(lines: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """One text column per name; cells that mean "no value" become null."""
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    cells = lines.select(F.from_csv("value", ddl).alias("c"), *keep)
-    return cells.select(*[F.when(~F.trim(F.col("c")[n]).isin(*NO_VALUE), F.col("c")[n]).alias(n) for n in names],
-                        *keep)
+def leads_of_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Leads of CSV lines with their places (``csv_records.placed_lines``), each file by its own header.
+
+    Blank and comment lines are dropped first, inside a quoted cell too. Cells that mean "no value"
+    become null; records without any value are dropped."""
+    cells = named_cells(data_lines(lines), LEAD_COLUMNS, REQUIRED_COLUMNS, keep)
+    known = cells.select(*[F.when(~F.trim(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in LEAD_COLUMNS], *keep)
+    return typed_leads(known, keep).dropna("all", subset=LEAD_COLUMNS)
 
 
 def read_leads_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Leads from one or many CSV files, each parsed by its own header line.
-
-    Only the distinct header lines reach the driver; lines are filtered and parsed by the executors."""
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = data_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")))
-    # a file of comments and empty rows alone has no header
-    first = (lines.filter(~F.col("value").rlike(r"^[\s,]*$")).groupBy("file")
-             .agg(F.trim(F.min_by("value", "place")).alias("header")))
-    headers = sorted(r.header for r in first.select("header").distinct().collect())
-    if not headers:
-        raise ValueError(f"no data lines in {path}")
-    read = []
-    for header in headers:
-        own = lines.join(first.filter(F.col("header") == header), "file") if len(headers) > 1 else lines
-        names = [n.strip() for n in next(csv.reader([header.strip()]))]
-        read.append(typed_leads(require_columns(split_cells(own.filter(F.trim("value") != header), names))))
-    return reduce(DataFrame.unionByName, read).dropna("all")
+    """Leads from one or many CSV files, each parsed by its own header; quoted cells may span lines."""
+    try:
+        return leads_of_lines(placed_lines(spark.read.text(path)))
+    except ValueError as fault:
+        raise ValueError(f"{fault} ({path})") from None
 
 
 def write_leads_csv(leads: DataFrame, path: str) -> None:
-    leads.write.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    leads.write.option("header", True).option("escape", '"').option("dateFormat", "yyyy-MM-dd").csv(path)

@@ -43,6 +43,8 @@ def test_global_rank(spark):
 def test_rows_without_id_stay_apart(spark, tmp_path):
     fields = ", ".join(f"{c} string" for c in LEAD_COLUMNS)
     row = lambda ident, stage: tuple(ident if c == "lead_id" else stage if c == "current_stage" else None for c in LEAD_COLUMNS)
-    log = spark.createDataFrame([row(None, "lost"), row(None, "lost"), row("A", "inquiry"), row("A", "lost")], fields)
-    log.withColumn("uploaded", F.when(F.col("current_stage") == "lost", "2").otherwise("1")).write.parquet(str(tmp_path / "log"))
-    assert sorted((r.lead_id or "", r.current_stage) for r in current_leads(spark, str(tmp_path / "log")).collect()) == [("", "lost"), ("", "lost"), ("A", "lost")]
+    from foresail.streaming.uploads import lead_state
+    rows = spark.createDataFrame([row(None, "lost"), row(None, "lost"), row("A", "inquiry"), row("A", "lost")], fields)
+    typed = typed_leads(rows).withColumn("uploaded", F.when(F.col("current_stage") == "lost", "2").otherwise("1"))
+    lead_state(spark, str(tmp_path / "state")).merge(typed, 0)
+    assert sorted((r.lead_id or "", r.current_stage) for r in current_leads(spark, str(tmp_path / "state")).collect()) == [("", "lost"), ("", "lost"), ("A", "lost")]

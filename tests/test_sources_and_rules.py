@@ -8,7 +8,7 @@ from foresail.operators import completeness, insights as G, reporting as D, scen
 from foresail.schema import LEAD_COLUMNS
 from foresail.sources import csv_leads, sinks
 from foresail.sources.snapshots import SnapshotStore
-from foresail.streaming.uploads import append_uploads, current_leads, stream_monthly_revenue
+from foresail.streaming.uploads import append_uploads, current_leads, current_revenue, stream_monthly_revenue
 from foresail.operators.series import monthly_revenue
 
 HEADER = ",".join(LEAD_COLUMNS)
@@ -187,6 +187,7 @@ def test_stream_keeps_the_newest_state_and_resumes(spark, tmp_path):
     assert [(r.revenue, r.trip_count) for r in second.collect()] == [(350.0, 2)]
     append_uploads(spark, str(landing), log, state)         # nothing new: nothing changes
     again = current_leads(spark, log)
+    assert current_revenue(spark, log).collect() == second.collect()
     batch = csv_leads.read_leads_csv(spark, [str(landing / "leads_20240301_080000.csv")]).unionByName(
         csv_leads.read_leads_csv(spark, [str(landing / "leads_20240101_080000.csv")]).filter("lead_id = 'B'"))
     assert monthly_revenue(again).collect() == monthly_revenue(batch).collect()
