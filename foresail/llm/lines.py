@@ -25,36 +25,42 @@ BUCKETS = 1 << 16
 LEADS = 2
 #: Words that 64 bits of parity can tell apart; larger sets carry a parity twice, four times, ... as wide.
 PARITY_WORDS, WIDEST = 72, 64
-#: Up to so many documents their ids are broadcast to fetch candidate lines (16 bytes each); beyond, the join shuffles.
-FETCH_ROWS = 1_000_000
+#: Documents' ids and numbers of candidate lines are broadcast up to so many 4-byte numbers; beyond, the join shuffles.
+FETCH_NUMBERS = 4_000_000
 
 Share = tuple[int, int]
 
 
-def _all_words(text: Column) -> Column:
-    return F.array_remove(F.split(text, WORD_BREAK), "")
+def _spaced(text: Column) -> Column:
+    """The text with a space for every other break but the line feed, so that words are cut at one character."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _all_words(line: Column) -> Column:
+    """The words of a line of a ``_spaced`` text."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Callable[[Column], Column]:
-    """A function from a word to its sort key: quarter powers of two of its bucket's count, then its hash.
+    """A function from a word's hash to its sort key: quarter powers of two of its bucket's count, then its hash.
 
     Counts cover all texts. The key is one long and so also stands for the word; its order is total and
     the same everywhere, which is all that the prefix filter needs."""
-    counted = docs.select(F.explode(F.split(F.col(text_col).cast("string"), WORD_BREAK)).alias("w")).groupBy(_bucket(F.col("w")).alias("b"))
+    words = F.split(F.col(text_col).cast("string"), WORD_BREAK)
+    counted = docs.select(F.explode(words).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b"))
     level = F.least(F.lit(120), F.floor(4 * F.log2(F.count("*"))))
     found = {r.b: r.level for r in counted.agg(level.cast("int").alias("level")).collect()}
     levels = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<tinyint>")
-    return lambda w: F.shiftleft(F.get(levels, _bucket(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
 
-def _least_overlap(n: Column, m: Column, share: Share) -> Column:
-    """Smallest common size of sets of n and m words that reaches the similarity."""
-    a, b = share
-    return F.ceil((n + m) * F.lit(a) / F.lit(a + b))
+def _tokens(line: Column, key: Callable[[Column], Column]) -> Column:
+    """A line's distinct word keys, rarest first."""
+    return F.array_distinct(F.sort_array(F.transform(F.transform(_all_words(line), lambda w: F.xxhash64(w)), key)))
 
 
 def _parity(tokens: Column) -> Column:
@@ -77,25 +83,23 @@ def _wide_difference(a: Column, b: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n_lines, lines): per line with a word its number, set id, size, parity and prefix.
+    """(doc_id, text_hash, line, sid, n, parity, wide, leads, prefix): a row per line with a word.
 
-    Parity has a bit for every 64th part of the words, flipped by each word in it: two sets differ in at
-    least as many words as their parities in bits; large sets have a wide parity too. The prefix keeps a 32-bit hash of each word's key; words
-    that agree in it only add candidates, which verification drops."""
+    ``line`` is its number, ``sid`` its set's id and ``n`` that set's size. Parity has a bit for every 64th
+    part of the words, flipped by each word in it: two sets differ in at least as many words as their
+    parities in bits; large sets have a wide parity too. The prefix keeps a 32-bit hash of each word's key;
+    words that agree in it only add candidates, which verification drops. Rows that repeat id and text
+    repeat their lines."""
     a, b = share
-
-    def line(text: Column, number: Column) -> Column:
-        tokens = F.array_distinct(F.sort_array(F.transform(_all_words(text), key)))
-        drawn = lambda t, k: F.array_min(F.transform(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int")), lambda x: F.hash(F.lit(k), x)))
-        cut = F.transform(F.array(tokens), lambda t: F.struct(
-            number.cast("int").alias("line"), F.xxhash64(t).alias("sid"), F.size(t).alias("n"), _parity(t).alias("parity"), _wide_parity(t).alias("wide"), F.array(*(drawn(t, k) for k in range(LEADS))).alias("leads"),
-            F.transform(F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * F.lit(a) / F.lit(b)).cast("int") + 1), lambda x: F.hash(x)).alias("prefix")))
-        return F.get(cut, 0)
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
-    found = F.filter(F.transform(split, line), lambda x: x.n > 0)
-    return narrow.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(split).alias("n_lines"), found.alias("lines"))
+    text = F.col(text_col).cast("string")
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_spaced(text), "\n")).alias("line", "words"))
+    cut = each.where(F.col("words").rlike("[^ ]")).select("doc_id", "text_hash", "line", _tokens(F.col("words"), key).alias("t"))
+    t = F.col("t")
+    # from the rarer half, cut once for all draws
+    drawn = F.get(F.transform(F.array(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int"))), lambda half: F.array(
+        *(F.array_min(F.transform(half, lambda x, k=k: F.hash(F.lit(k), x))) for k in range(LEADS)))), 0)
+    prefix = F.transform(F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * F.lit(a) / F.lit(b)).cast("int") + 1), lambda x: F.hash(x))
+    return cut.select("doc_id", "text_hash", "line", F.xxhash64(t).alias("sid"), F.size(t).alias("n"), _parity(t).alias("parity"), _wide_parity(t).alias("wide"), drawn.alias("leads"), prefix.alias("prefix"))
 
 
 def _first(doc: str = "doc_id") -> Column:
@@ -106,11 +110,12 @@ def _first(doc: str = "doc_id") -> Column:
 def _fetch(docs: DataFrame, nodes: DataFrame, key: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """(sid, tokens) of the sets in ``nodes`` (sid, doc, line), read again from the documents."""
     where = settle_table(nodes.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "line-fetch")
-    small = where.limit(FETCH_ROWS + 1).count() <= FETCH_ROWS
+    # 16 bytes a document and 4 a line: a broadcast has a proven size
+    small = (where.agg(F.sum(4 + F.size("wanted"))).first()[0] or 0) <= FETCH_NUMBERS
     narrow = docs.select(_first(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     texts = narrow.join(F.broadcast(where) if small else where, "doc")
-    lines = texts.select("wanted", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.array_contains("wanted", F.col("line")))
-    tokens = lines.select(F.array_distinct(F.sort_array(F.transform(_all_words(F.col("t")), key))).alias("tokens")).select(F.xxhash64("tokens").alias("sid"), "tokens")
+    lines = texts.select("wanted", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "t")).where(F.array_contains("wanted", F.col("line")))
+    tokens = lines.select(_tokens(F.col("t"), key).alias("tokens")).select(F.xxhash64("tokens").alias("sid"), "tokens")
     return tokens.groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
@@ -124,43 +129,46 @@ def _verified(pairs: DataFrame, tokens: DataFrame, share: Share) -> DataFrame:
 
 def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(sets, decided): every set's first place, and the ids of sets that resemble an earlier other set."""
-    each = lines.select(_first().alias("doc"), F.explode("lines").alias("x")).select("doc", "x.*")
-    every_set = settle_table(each.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "parity", "wide", "leads", "prefix")).alias("m")).select("sid", "m.*"), "line-sets")
+    a, b = share
+    every_set = settle_table(lines.withColumn("doc", _first()).groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "parity", "wide", "leads", "prefix")).alias("m")).select("sid", "m.*"), "line-sets")
     # Line and size share one number: fewer columns make smaller rows.
     high = lambda c: F.shiftright(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     n, m = low("size"), low("o.size")
-    overlap = _least_overlap(n, m, share)
-    fits = (
-        (F.struct("o.doc", "o.size", "o.sid") < F.struct("doc", "size", "sid"))
-        & (F.least(n, m) * share[1] >= F.greatest(n, m) * share[0])
-        & (F.least(n - F.col("pos"), m - F.col("o.pos")) >= overlap)
-        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("o.parity"))) <= n + m - 2 * overlap)
-        & (F.col("wide").isNull() | F.col("o.wide").isNull() | (_wide_difference(F.col("wide"), F.col("o.wide")) <= n + m - 2 * overlap))
+    # Similar sets have a / (a + b) of both sizes in common and differ in (b - a) / (a + b) of them at most.
+    near = lambda bits: (a + b) * bits <= (b - a) * (n + m)
+    like = (
+        (F.least(n, m) * b >= F.greatest(n, m) * a)
+        & ((a + b) * F.least(n - F.col("pos"), m - F.col("o.pos")) >= a * (n + m))
+        & near(F.bit_count(F.col("parity").bitwiseXOR(F.col("o.parity"))))
+        & (F.col("wide").isNull() | F.col("o.wide").isNull() | near(_wide_difference(F.col("wide"), F.col("o.wide"))))
     )
+    # the flag decides nothing here: both sides of a join are to read the same columns, and so the same exchange
+    earlier = F.struct("o.doc", "o.size", "o.sid", "o.done") < F.struct("doc", "size", "sid", "done")
     # Below this size only equal sets are similar enough.
-    joinable = F.col("n") * (share[1] - share[0]) >= share[0]
-    gram = ("doc", "size", "sid", "pos", "parity", "wide")
+    joinable = F.col("n") * (b - a) >= a
+    gram = ("doc", "size", "sid", "pos", "parity", "wide", "done")
 
-    def grams(words: str, sets: DataFrame, *more: str) -> DataFrame:
+    def grams(words: str, sets: DataFrame) -> DataFrame:
         """A row per set and word; a drawn word has no place in the order and takes the first."""
-        rows = sets.where(joinable).select("sid", "doc", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("n")).alias("size"), "parity", "wide", *more, F.posexplode(words).alias("pos", "token"))
-        return (rows if words == "prefix" else rows.withColumn("pos", F.lit(0))).repartition("token")
+        rows = sets.where(joinable).select("sid", "doc", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("n")).alias("size"), "parity", "wide", "done", F.posexplode(words).alias("pos", "token"))
+        return (rows if words == "prefix" else rows.withColumn("pos", F.col("pos") * 0)).select("token", *gram).repartition("token")
 
     def check(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("sid", "doc", "line").union(pairs.select("other", "odoc", "oline")).distinct()
         return _verified(pairs.select("sid", "other"), settle_table(_fetch(docs, nodes, key, id_col, text_col), "line-tokens"), share)
 
     pair = ("sid", "doc", high("size").alias("line"), F.col("o.sid").alias("other"), F.col("o.doc").alias("odoc"), high("o.size").alias("oline"))
-    lead = grams("leads", every_set)
+    lead = grams("leads", every_set.withColumn("done", F.lit(False)))
     earliest = lead.groupBy("token").agg(F.min(F.struct(*gram)).alias("o"))
-    found = lead.join(earliest, "token").where(fits).select(*pair)
+    found = lead.join(earliest, "token").where(like & earlier).select(*pair)
     one = found.groupBy("sid", "doc", "line").agg(F.min(F.struct("odoc", "oline", "other")).alias("o")).select("sid", "doc", "line", "o.*")
     decided = settle_table(check(settle_table(one, "line-pairs")), "line-decided")
 
-    every = grams("prefix", every_set.join(decided.withColumn("done", F.lit(True)), "sid", "left"), "done")
-    probe, partner = every.where("done is null").drop("done"), every.select("token", F.struct(*gram).alias("o"))
-    more = probe.join(partner, "token").where(fits).select(*pair).distinct()
+    every = grams("prefix", every_set.join(decided.withColumn("found", F.lit(True)), "sid", "left").withColumn("done", F.col("found").isNotNull()))
+    # A decided set looks for nothing; said together with the order, it is no filter of one side.
+    looks = F.when(F.col("done"), F.lit(False)).otherwise(earlier)
+    more = every.join(every.select("token", F.struct(*gram).alias("o")), "token").where(like & looks).select(*pair).distinct()
     return every_set.select("sid", "doc", "line"), decided.union(check(settle_table(more, "line-pairs"))).distinct()
 
 
@@ -173,12 +181,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     different texts follow each other by their set's hash. Sets are told apart by 64-bit hashes of
     their words' keys; similar pairs are verified word by word. Other columns are not read."""
     key = rarity(docs, text_col)
-    lines = settle_table(document_lines(docs, key, share, id_col, text_col).dropDuplicates(["doc_id", "text_hash"]), "lines")
+    lines = settle_table(document_lines(docs, key, share, id_col, text_col), "lines")
     sets, decided = similar_earlier(docs, lines, key, share, id_col, text_col)
     kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line")
-    each = lines.select("doc_id", "text_hash", F.explode("lines").alias("x")).select("doc_id", "text_hash", "x.line", "x.sid", _first().alias("doc"))
-    gone = each.join(kept, ["sid", "doc", "line"], "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    return lines.select("doc_id", "text_hash", "n_lines").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left").select(
+    each = lines.select("doc_id", "text_hash", "line", "sid", _first().alias("doc"))
+    gone = each.join(kept, ["sid", "doc", "line"], "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    text = F.col(text_col).cast("string")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines")).distinct()
+    return every.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select(
         "doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
