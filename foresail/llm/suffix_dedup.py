@@ -9,7 +9,9 @@ suffixes of its pieces by deep-shallow sorting (``suffix_sort``); neighbours wit
 
 Before the shuffle, pieces that a smaller document of the same batch has word for word are settled on
 the spot and not sent, so a passage shared by a third of all documents reaches its bucket about once
-per batch. Pieces travel compressed, many to a row."""
+per batch. Of pieces that a document repeats within a batch only the first is sent whole, for the others
+(twins) their places: a megabyte of spaces is one piece of bytes. Pieces, and at the end the texts that
+the found ranges are cut from, travel compressed, many to a row."""
 
 from __future__ import annotations
 
@@ -26,7 +28,8 @@ from foresail.llm.suffix_sort import repeated
 
 ANCHOR = 8
 #: Bytes of text cut into pieces at a time, bytes of pieces packed together, and text whose pieces make one bucket on average.
-BATCH_BYTES, HELD_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 6 << 20
+BATCH_BYTES, HELD_BYTES, BUCKET_BYTES = 1 << 20, 40 << 20, 6 << 20
+_PRESS_LEVEL = 6
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -125,12 +128,23 @@ def _merge(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return key[at], begin[at], (reach - shift)[np.append(at[1:], len(key)) - 1]
 
 
-def earlier_windows(pieces: Pieces, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, begin, end): merged ranges of the windows of a bucket's pieces that a smaller document has too."""
+#: Pieces that repeat another one of their document: key, place, and that piece's number.
+Twins = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def earlier_windows(pieces: Pieces, span: int, twins: Twins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, begin, end): merged ranges of the windows of a bucket's pieces and twins that a smaller document has too."""
     table = pieces.aligned(span)
     first, gone = _copies(pieces, table)
     size = (pieces.left + pieces.right).astype(np.int64)
-    found = [(pieces.key[gone], pieces.pos[gone], pieces.pos[gone] + size[gone])]
+    own = np.flatnonzero((first != np.arange(len(first))) & ~gone)
+    # A piece that repeats within one document shares the verdict of its first.
+    twin_key, twin_pos = np.concatenate([twins[0], pieces.key[own]]), np.concatenate([twins[1], pieces.pos[own]])
+    twin_of = np.concatenate([twins[2], own])
+    lost = gone[twin_of]
+    found = [(pieces.key[gone], pieces.pos[gone], pieces.pos[gone] + size[gone]), (twin_key[lost], twin_pos[lost], twin_pos[lost] + size[twin_of[lost]])]
+    by_first = np.flatnonzero(~lost)[np.argsort(first[twin_of[~lost]], kind="stable")]
+    twin_key, twin_pos, twin_first = twin_key[by_first], twin_pos[by_first], first[twin_of[by_first]]
     lone = np.flatnonzero(first == np.arange(len(first)))
     before, side = span - ANCHOR, (span - ANCHOR) // 2
     # Equal windows reach at least half of the rest beyond the anchor on one side: a cheap test for partners.
@@ -159,67 +173,85 @@ def earlier_windows(pieces: Pieces, span: int) -> tuple[np.ndarray, np.ndarray,
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         least = np.minimum.reduceat(owner[index], cuts)[group]
         hit = index[owner[index] > least]
-        # A piece that repeats within one document shares the verdict of its first.
-        twins = np.flatnonzero((first != np.arange(len(first))) & ~gone)
-        by_first = np.argsort(first[twins], kind="stable")
-        twins = twins[by_first]
         source = rows[row[hit]]
-        low, high = np.searchsorted(first[twins], source, "left"), np.searchsorted(first[twins], source, "right")
+        low, high = np.searchsorted(twin_first, source, "left"), np.searchsorted(twin_first, source, "right")
         again = np.repeat(np.arange(len(hit)), high - low)
-        other = twins[np.repeat(low, high - low) + np.arange(len(again)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
-        for which, steps in ((source, step[hit]), (other, step[hit][again])):
-            found.append((pieces.key[which], pieces.pos[which] + steps, pieces.pos[which] + steps + span))
+        other = np.repeat(low, high - low) + np.arange(len(again)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        found.append((pieces.key[source], pieces.pos[source] + step[hit], pieces.pos[source] + step[hit] + span))
+        found.append((twin_key[other], twin_pos[other] + step[hit][again], twin_pos[other] + step[hit][again] + span))
     return _merge(*(np.concatenate(c) for c in zip(*found)))
 
 
-def _pack(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, content: np.ndarray) -> bytes:
-    """Pieces as one compressed block: documents once, then columns, then the contents."""
-    names, at, number = np.unique(key, return_index=True, return_inverse=True)
-    parts = [names.astype("<i8"), doc[at].astype("<i8"), number.astype("<u4"), pos.astype("<u4"), left.astype(np.uint8), right.astype(np.uint8), content]
-    raw = b"".join([struct.pack("<II", len(names), len(key)), *(p.tobytes() for p in parts)])
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def _pack(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, content: np.ndarray, twins: Twins) -> bytes:
+    """Pieces and twins as one compressed block: documents once, then columns, then the contents."""
+    names, at, number = np.unique(np.concatenate([key, twins[0]]), return_index=True, return_inverse=True)
+    docs = np.concatenate([doc, doc[twins[2]]])[at]
+    n = len(key)
+    # places and numbers as steps from the one before: they rise slowly, and the steps press well
+    step = lambda x: np.diff(x, prepend=0).astype("<i8").astype("<u4")
+    parts = [names.astype("<i8"), docs.astype("<i8"), step(number[:n]), step(pos), left.astype(np.uint8), right.astype(np.uint8),
+             step(number[n:]), step(twins[1]), step(twins[2]), content]
+    raw = b"".join([struct.pack("<III", len(names), n, len(twins[0])), *(p.tobytes() for p in parts)])
+    return zstandard.ZstdCompressor(level=_PRESS_LEVEL).compress(raw)
 
 
 class _Held:
-    """Pieces sorted by bucket, batch by batch, until there is enough to pack."""
+    """Pieces and twins sorted by bucket, batch by batch, until there is enough to pack."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, Twins]] = []
         self.size = 0
 
-    def add(self, pieces: Pieces, bucket: np.ndarray) -> None:
+    def add(self, pieces: Pieces, bucket: np.ndarray, twin_bucket: np.ndarray, twins: Twins) -> None:
+        """Both sorted by bucket; a twin's number is that of its piece among ``pieces``."""
         size = pieces.left + pieces.right
         content = pieces.content()
-        self.parts.append((bucket, [pieces.doc, pieces.key, pieces.pos, pieces.left, pieces.right, np.cumsum(size) - size], content))
-        self.size += len(content)
+        self.parts.append((bucket, [pieces.doc, pieces.key, pieces.pos, pieces.left, pieces.right, np.cumsum(size) - size], content, twin_bucket, twins))
+        self.size += len(content) + 16 * len(twin_bucket)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         names = np.unique(np.concatenate([p[0] for p in self.parts]))
-        edges = [(np.searchsorted(p[0], names, "left"), np.searchsorted(p[0], names, "right")) for p in self.parts]
+        edges = [[(np.searchsorted(p[i], names, "left"), np.searchsorted(p[i], names, "right")) for i in (0, 3)] for p in self.parts]
         for k, name in enumerate(names.tolist()):
-            chosen = [(columns, content, low[k], high[k]) for (_, columns, content), (low, high) in zip(self.parts, edges) if low[k] < high[k]]
-            columns = [np.concatenate([c[j][low:high] for c, _, low, high in chosen]) for j in range(5)]
-            text = np.concatenate([content[c[5][low]:c[5][high - 1] + c[3][high - 1] + c[4][high - 1]] for c, content, low, high in chosen])
-            yield name, _pack(*columns, text)
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            twins: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+            text, before = [], 0
+            for (_, own, content, _, mates), ((low, high), (from_, upto)) in zip(self.parts, edges):
+                a, b = low[k], high[k]
+                if a == b:
+                    continue
+                for column, values in zip(columns, own):
+                    column.append(values[a:b])
+                text.append(content[own[5][a]:own[5][b - 1] + own[3][b - 1] + own[4][b - 1]])
+                for column, values in zip(twins, mates):
+                    column.append(values[from_[k]:upto[k]])
+                twins[2][-1] = twins[2][-1] - a + before
+                before += b - a
+            yield name, _pack(*(np.concatenate(c) for c in columns), np.concatenate(text), tuple(np.concatenate(c) for c in twins))
         self.parts, self.size = [], 0
 
 
-def _unpack(blocks: list[bytes]) -> Pieces:
+def _unpack(blocks: list[bytes]) -> tuple[Pieces, Twins]:
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    twins: list[list[np.ndarray]] = [[] for _ in range(3)]
     press = zstandard.ZstdDecompressor()
+    before = 0
     for block in blocks:
         raw = press.decompress(block)
-        m, n = struct.unpack_from("<II", raw)
-        at, got = 8, []
-        for kind, count in (("<i8", m), ("<i8", m), ("<u4", n), ("<u4", n), ("u1", n), ("u1", n)):
+        m, n, t = struct.unpack_from("<III", raw)
+        at, got = 12, []
+        for kind, count in (("<i8", m), ("<i8", m), ("<u4", n), ("<u4", n), ("u1", n), ("u1", n), ("<u4", t), ("<u4", t), ("<u4", t)):
             got.append(np.frombuffer(raw, kind, count, at))
             at += got[-1].nbytes
-        names, docs, number, pos, left, right = got
+        names, docs, number, pos, left, right, twin_number, twin_pos, twin_of = (np.cumsum(g, dtype=np.uint32) if k in (2, 3, 6, 7, 8) else g for k, g in enumerate(got))
         for column, values in zip(columns, (docs[number], names[number], pos.astype(np.int64), left.astype(np.int64), right.astype(np.int64), np.frombuffer(raw, np.uint8, offset=at))):
             column.append(values)
+        for column, values in zip(twins, (names[twin_number], twin_pos.astype(np.int64), twin_of.astype(np.int64) + before)):
+            column.append(values)
+        before += n
     doc, key, pos, left, right, flat = (np.concatenate(c) for c in columns)
     size = left + right
-    return Pieces(doc, key, pos, left, right, flat, np.cumsum(size) - size)
+    return Pieces(doc, key, pos, left, right, flat, np.cumsum(size) - size), tuple(np.concatenate(c) for c in twins)
 
 
 _NONE = (np.zeros(0, np.int64),) * 3
@@ -267,14 +299,17 @@ def piece_blocks(docs: DataFrame, buckets: int, span: int) -> DataFrame:
                 if not len(hashes):
                     continue
                 pieces.pos = pieces.pos + offset
-                _, gone = _copies(pieces, pieces.aligned(span))
+                first, gone = _copies(pieces, pieces.aligned(span))
                 size = pieces.left + pieces.right
                 if gone.any():
                     yield rows([], [], _range_rows(*_merge(pieces.key[gone], pieces.pos[gone], pieces.pos[gone] + size[gone])))
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                left = np.flatnonzero(~gone)
-                left = left[np.argsort(bucket[left], kind="stable")]
-                held.add(pieces.take(left), bucket[left])
+                itself = first == np.arange(len(first))
+                left, twin = np.flatnonzero(itself & ~gone), np.flatnonzero(~itself & ~gone)
+                left, twin = left[np.argsort(bucket[left], kind="stable")], twin[np.argsort(bucket[twin], kind="stable")]
+                number = np.zeros(len(first), np.int64)
+                number[left] = np.arange(len(left))
+                held.add(pieces.take(left), bucket[left], bucket[twin], (pieces.key[twin], pieces.pos[twin], number[first[twin]]))
                 if held.size >= HELD_BYTES:
                     packed = list(held.blocks())
                     yield rows([k for k, _ in packed], [b for _, b in packed], _range_rows(*_NONE))
@@ -294,10 +329,13 @@ def _slices(ids: list[int], keys: list[int], texts: list[bytes], span: int) -> I
         yield ids, keys, [texts[0][at:at + BATCH_BYTES + span - 1]], at
 
 
-def removed_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
-    """(key, ranges array<int> begin, end, begin, ...) of removed bytes, several rows per key, for (doc, key, text)."""
+def _buckets(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    return max(1, -(-total // BUCKET_BYTES))
+
+
+def removed_ranges(docs: DataFrame, span: int, buckets: int) -> DataFrame:
+    """(key, ranges array<int> begin, end, begin, ...) of removed bytes, several rows per key, for (doc, key, text)."""
     sent = piece_blocks(docs, buckets, span)
 
     def resolve(key: tuple, rows: pa.Table) -> pa.Table:
@@ -305,7 +343,8 @@ def removed_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
         blocks = [b for b in rows["block"].to_pylist() if b is not None]
         tables = [pa.Table.from_arrays(known.columns, schema=_RANGES)]
         if blocks:
-            tables.append(_range_rows(*earlier_windows(_unpack(blocks), span)))
+            pieces, twins = _unpack(blocks)
+            tables.append(_range_rows(*earlier_windows(pieces, span, twins)))
         return pa.concat_tables(tables)
 
     return sent.groupBy("bucket").applyInArrow(resolve, "key long, ranges array<int>")
@@ -317,6 +356,53 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(long_id.alias("doc_id"), F.coalesce(long_id, F.lit(_LAST)).alias("doc"), F.xxhash64(long_id, text).alias("key"), text.alias("text"))
 
 
+def _text_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block): the rows of (doc_id, key, text) packed and compressed by their key's bucket.
+
+    Rows of one key in a block are one entry with their number."""
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list]] = {}
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            blocks = []
+            for entries in held.values():
+                docs, texts, times = zip(*entries.values())
+                head = [np.array(list(entries), "<i8"), np.array([d or 0 for d in docs], "<i8"), np.array(list(map(len, texts)), "<u4"), np.array(times, "<u4"), np.array([d is not None for d in docs], np.uint8)]
+                blocks.append(zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<I", len(entries)), *(h.tobytes() for h in head), *texts])))
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+        for batch in source:
+            for doc, key, text in zip(*(batch.column(k) for k in range(3))):
+                number = key.as_py()
+                entry = held.setdefault(number % buckets, {}).setdefault(number, [doc.as_py(), text.as_py(), 0])
+                entry[2] += 1
+                size += 16 + (len(entry[1]) if entry[2] == 1 else 0)
+                if size >= HELD_BYTES:
+                    yield packed()
+                    held, size = {}, 0
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(run, "bucket long, block binary")
+
+
+def _texts(block: bytes) -> Iterator[tuple[int | None, int, bytes, int]]:
+    """(doc_id, key, text, number of rows) of the entries of a block."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, = struct.unpack_from("<I", raw)
+    keys, docs = np.frombuffer(raw, "<i8", n, 4).tolist(), np.frombuffer(raw, "<i8", n, 4 + 8 * n).tolist()
+    sizes, times = np.frombuffer(raw, "<u4", n, 4 + 16 * n).tolist(), np.frombuffer(raw, "<u4", n, 4 + 20 * n).tolist()
+    known = np.frombuffer(raw, np.uint8, n, 4 + 24 * n).tolist()
+    at = 4 + 25 * n
+    for key, doc, size, there, rows in zip(keys, docs, sizes, known, times):
+        yield doc if there else None, key, raw[at:at + size], rows
+        at += size
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("kept", pa.binary()), ("ranges", pa.list_(pa.int32())), ("times", pa.int64())])
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
     """(doc_id, text binary, kept binary, ranges array<int>) of every row: merged removed ranges and what is left.
 
@@ -324,25 +410,26 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input. Null ids come after all others and, like equal ids, do not remove each other; rows that
     repeat id and text get the same result. Texts shorter than ``span`` lose nothing."""
     keyed = _keyed(docs, id_col, text_col)
-    ranges = settle_table(removed_ranges(keyed.select("doc", "key", "text"), span), "passage-ranges")
-    gathered = ranges.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = keyed.select("doc_id", "key", "text").join(gathered, "key", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                kept, merged = [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2)):
-                    if not found.is_valid:
-                        kept.append(text)
-                        merged.append([])
-                        continue
-                    pairs = found.values.to_numpy().astype(np.int64).reshape(-1, 2)
+    buckets = _buckets(keyed)
+    ranges = settle_table(removed_ranges(keyed.select("doc", "key", "text"), span, buckets), "passage-ranges")
+
+    def cut_out(found: pa.Table, packed: pa.Table) -> pa.Table:
+        lists: dict[int, list[np.ndarray]] = {}
+        for key, pairs in zip(found["key"].to_pylist(), found["ranges"]):
+            lists.setdefault(key, []).append(pairs.values.to_numpy().astype(np.int64).reshape(-1, 2))
+        rows: list[tuple] = []
+        for block in packed["block"]:
+            for doc, key, text, times in _texts(block.as_py()):
+                edges = [0, len(text)]
+                if key in lists:
+                    pairs = np.concatenate(lists[key])
                     _, low, high = _merge(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-                    edges = np.concatenate([[0], np.stack([low, high], axis=1).reshape(-1), [len(text)]]).tolist()
-                    kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                    merged.append(edges[1:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.int32()))], ["doc_id", "text", "kept", "ranges"])
-
-    return joined.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, text binary, kept binary, ranges array<int>")
+                    edges[1:1] = np.stack([low, high], axis=1).reshape(-1).tolist()
+                rows.append((doc, text, b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]), edges[1:-1], times))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _KEPT)], schema=_KEPT)
+
+    placed = ranges.select("key", "ranges", F.pmod("key", F.lit(buckets)).alias("bucket"))
+    texts = _text_blocks(keyed.select("doc_id", "key", "text"), buckets)
+    found = placed.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(cut_out, "doc_id long, text binary, kept binary, ranges array<int>, times long")
+    # repeated rows become rows again one by one, outside the task's memory
+    return found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "text", "kept", "ranges")

@@ -111,6 +111,20 @@ def test_passages(documents, odd_docs, monkeypatch):
     assert suffix_dedup.dedup_passages(odd_docs.limit(0)).count() == 0
 
 
+def test_repeated_bytes_are_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 30_000)
+    texts = [" " * 90_000, "word " * 9_000 + "end", "x" * 70 + " " * 20_000, "-" * 49, "-" * 50 + "word " * 4_000, None, " " * 90_000]
+    docs = spark.createDataFrame([*enumerate(texts), (1, " " * 200), (None, "word " * 100)], "doc_id long, text string").coalesce(2)
+    docs = docs.union(docs.where("doc_id = 2")).union(docs.where("doc_id = 2"))
+    got = suffix_dedup.dedup_passages(docs).collect()
+    found = collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest(), len(r.text) - len(r.kept)) for r in got)
+    assert found == _brute_passages([(r.doc_id, r.text) for r in docs.collect()])
+    sent = suffix_dedup.piece_blocks(suffix_dedup._keyed(docs, "doc_id", "text").select("doc", "key", "text"), 8, 50)
+    assert sum(len(r.block or b"") for r in sent.collect()) < 0.2 * sum(len(r.text or "") for r in docs.collect())
+    pieces, _ = suffix_dedup.cut([b" " * 30_000], np.zeros(1, np.int64), np.zeros(1, np.int64), 50)
+    assert len(pieces.left) > 29_000  # a piece for every byte, were they all sent
+
+
 def test_blind_trie_sorts():
     rng = np.random.default_rng(2)
     words = [bytes(rng.integers(97, 99, 9).astype(np.uint8)) for _ in range(300)]
