@@ -107,21 +107,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     exponent = F.col("theta") * F.col("size") / F.col("mean")
     rate = (F.when(F.col("target") <= 0, 0.0).when(F.col("theta").isNull() | (exponent >= math.log(most)), float(most)).otherwise(F.exp(exponent)))
     groups = (
-        ranked.where("size > 0").groupBy(*_SOURCE, "size").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+        ranked.groupBy(*_SOURCE, "size").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         .join(targets, list(_SOURCE)).join(theta, list(_SOURCE), "left")
-        .withColumn("units", F.round(rate * UNIT).cast("long"))
+        .withColumn("units", F.when(F.col("size") > 0, F.round(rate * UNIT)).otherwise(0).cast("long"))
     )
     # One row per distinct size of a source: its length follows the longest text, not the corpus.
     before = F.sum(F.col("n") * F.col("units")).over(Window.partitionBy(*_SOURCE).orderBy("size")) - F.col("n") * F.col("units")
-    groups = groups.select(*_SOURCE, "size", "first", "units", before.alias("before"))
-    placed = ranked.join(groups, [*_SOURCE, "size"], "left").withColumn("passed", F.col("before") + (F.col("place") - F.col("first")) * F.col("units"))
+    groups = settle_table(groups.select(*_SOURCE, "size", "n", "first", "units", before.alias("before")), "mix-groups")
     copies = lambda start: F.shiftright(F.col("passed") + F.col("units") + start, UNIT_BITS) - F.shiftright(F.col("passed") + start, UNIT_BITS)
     # Any start of the systematic rounding is fair; each source takes the one of a fixed set that ends nearest to its target.
     starts = [k * UNIT // STARTS for k in range(STARTS)]
-    tried = placed.groupBy(*_SOURCE).agg(F.array(*(F.sum(F.col("size") * copies(F.lit(k))) for k in starts)).alias("taken")).join(targets, list(_SOURCE))
+    # All documents of one size are neighbours: their copies together are those of one step over the group.
+    together = lambda start: F.shiftright(F.col("before") + F.col("n") * F.col("units") + start, UNIT_BITS) - F.shiftright(F.col("before") + start, UNIT_BITS)
+    tried = groups.groupBy(*_SOURCE).agg(F.array(*(F.sum(F.col("size") * together(F.lit(k))) for k in starts)).alias("taken")).join(targets, list(_SOURCE))
     misses = F.transform("taken", lambda t, k: F.struct(F.abs(F.coalesce(t, F.lit(0)) - F.col("target")).alias("miss"), F.element_at(F.array(*map(F.lit, starts)), k + 1).alias("start")))
     chosen = tried.select(*_SOURCE, "source_size", "target", F.array_min(misses).start.alias("start"))
-    return placed.join(chosen, list(_SOURCE), "left").select(
+    # Documents are dealt by source and size, never by source alone.
+    placed = ranked.join(groups.join(chosen, list(_SOURCE)), [*_SOURCE, "size"], "left").withColumn("passed", F.col("before") + (F.col("place") - F.col("first")) * F.col("units"))
+    return placed.select(
         "doc_id", "text_hash", F.when(~F.col("none"), F.col("source")).alias("source"), "size", "source_size", "target",
         F.coalesce(copies(F.col("start")), F.lit(0)).cast("long").alias("copies"))
 
@@ -129,8 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` with every row as often as it has copies, all columns kept.
 
-    Rows that agree in id, text and source are one document: the first found stands for all, with their
-    copies added up."""
+    Rows that agree in id, text and source are one document: the one whose columns have the least hash
+    stands for all, with their copies added up."""
     copies = mix(docs, id_col, text_col, source_col, **how).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
     tag = "__mix"
     while any(c.startswith(tag) for c in docs.columns):
@@ -138,5 +141,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"{tag}_{c}" for c in ("doc", "hash", "source")]
     marked = docs.select("*", F.col(id_col).cast("long").alias(names[0]), F.xxhash64(F.col(text_col).cast("string")).alias(names[1]), F.col(source_col).cast("string").alias(names[2]))
     plan = copies.select(F.struct(*(F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "source"), names))).alias(f"{tag}_key"), F.col("copies").alias(f"{tag}_n"))
-    joined = marked.dropDuplicates(names).join(plan, F.struct(*names).eqNullSafe(F.col(f"{tag}_key")))
-    return joined.withColumn(f"{tag}_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{tag}_n")))).select(*docs.columns)
+    hashed = F.xxhash64(*(f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")))
+    single = marked.groupBy(*names).agg(F.min_by(F.struct(*docs.columns), hashed).alias(f"{tag}_row"))
+    joined = single.join(plan, F.struct(*names).eqNullSafe(F.col(f"{tag}_key")))
+    return joined.withColumn(f"{tag}_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{tag}_n")))).select(f"{tag}_row.*")
