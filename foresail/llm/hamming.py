@@ -16,11 +16,14 @@ SEGMENTS, SEGMENT_BITS = 4, 16
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code): bit i (from the lowest) is set if component i is above 0; the first 64 components count.
+    """(id, code): bit i (from the lowest) is set if component i is above 0.
 
-    A null component or one beyond the vector's end gives 0, a null vector gives the code 0."""
+    A null component or one beyond the vector's end gives 0, a null vector gives the code 0. A vector of
+    more than 64 components does not fit a code: the query fails."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    parts = F.transform(F.slice(F.coalesce(F.col(vector_col).cast("array<float>"), F.array().cast("array<float>")), 1, SEGMENTS * SEGMENT_BITS), bit)
+    vector = F.coalesce(F.col(vector_col).cast("array<float>"), F.array().cast("array<float>"))
+    long = F.raise_error(F.lit(f"a vector has more than {SEGMENTS * SEGMENT_BITS} components")).cast("array<float>")
+    parts = F.transform(F.when(F.size(vector) > SEGMENTS * SEGMENT_BITS, long).otherwise(vector), bit)
     code = F.aggregate(parts, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return vectors.select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
@@ -52,11 +55,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = settle_table(_segments(entries.select("code", F.size("ids").alias("n")), "n"), "code-index")
     # bound: distance of the (k + 1)th row verified so far; one of them may be the query itself.
     asked = settle_table(queries.select("code").distinct().withColumn("bound", F.lit(SEGMENTS * SEGMENT_BITS)), "query-codes")
-    flips = F.sequence(F.lit(0), F.lit((1 << SEGMENT_BITS) - 1))
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, open_codes = None, asked
     for radius in range(SEGMENT_BITS + 1):
-        masks = F.filter(flips, lambda m: F.bit_count(m) == radius)
-        probes = _segments(open_codes, "bound").withColumn("mask", F.explode(masks)).select(
+        # one text for the planner to fold: the values of a segment with ``radius`` bits
+        masks = F.split(F.lit(",".join(str(m) for m in range(1 << SEGMENT_BITS) if m.bit_count() == radius)), ",").cast("array<int>")
+        # few codes, each with thousands of probes: dealt out before they are multiplied
+        probes = _segments(open_codes, "bound").repartition(tasks, "code", "segment").withColumn("mask", F.explode(masks)).select(
             F.col("code").alias("query"), "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).alias("p")
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
         hit = (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("bound"))
