@@ -21,7 +21,8 @@ from tokenizers import Tokenizer
 
 from foresail.llm.common import map_arrow
 
-_NO_PAIR = np.int64(1) << 40
+#: From this many bytes on a word has a tree of its own, in plain numbers: arrays only pay for many words at once.
+_WIDE = 1024
 #: Words encoded together, and distinct chunks remembered by a Python worker before it starts anew.
 _TOGETHER, _REMEMBERED = 8192, 200_000
 
@@ -49,6 +50,13 @@ class PairTable:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         _, first = np.unique(key, return_index=True)
         self.key, self.rank, self.made = key[first], first.astype(np.int64), made[first]
+        self._known: dict[int, tuple[int, int]] | None = None
+
+    def known(self) -> dict[int, tuple[int, int]]:
+        """The table by pair, for single words; made when the first one needs it."""
+        if self._known is None:
+            self._known = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        return self._known
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into the table and whether the pair is there; a negative id pairs with nothing."""
@@ -60,19 +68,20 @@ class PairTable:
 def merge_words(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
     """Merge every row of ``symbols`` (ids, -1 after the end) to its end; merged-away places become -1."""
     n, width = symbols.shape
+    no_pair = np.int64(len(pairs.key)) * width  # above rank * width + place of every pair
     ids = symbols.copy()
     rows = np.arange(n)
     follow = np.where(np.arange(width) + 1 < (symbols >= 0).sum(axis=1)[:, None], np.arange(1, width + 1), width)
     before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
     made = np.zeros((n, width), np.int64)
-    tree = np.full((n, 2 * width), _NO_PAIR, np.int64)
+    tree = np.full((n, 2 * width), no_pair, np.int64)
 
     def leaf(row: np.ndarray, place: np.ndarray) -> None:
         nxt = follow[row, place]
         right = np.where(nxt < width, ids[row, np.minimum(nxt, width - 1)], -1)
         at, there = pairs.find(ids[row, place], right)
         made[row, place] = pairs.made[at]
-        tree[row, width + place] = np.where(there, pairs.rank[at] * width + place, _NO_PAIR)
+        tree[row, width + place] = np.where(there, pairs.rank[at] * width + place, no_pair)
 
     def lift(row: np.ndarray, place: np.ndarray) -> None:
         node = (width + place) >> 1
@@ -87,7 +96,7 @@ def merge_words(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
         tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
         level >>= 1
     root = 1 if width > 1 else 0
-    live = rows[tree[:, root] < _NO_PAIR] if width > 1 else rows[:0]
+    live = rows[tree[:, root] < no_pair] if width > 1 else rows[:0]
     while live.size:
         place = tree[live, root] % width
         gone = follow[live, place]
@@ -97,7 +106,7 @@ def merge_words(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
         follow[live, place] = nxt
         inner = nxt < width
         before[live[inner], nxt[inner]] = place[inner]
-        tree[live, width + gone] = _NO_PAIR
+        tree[live, width + gone] = no_pair
         leaf(live, place)
         prior = before[live, place]
         has = prior >= 0
@@ -105,10 +114,53 @@ def merge_words(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
         lift(live, gone)
         lift(live, place)
         lift(live[has], prior[has])
-        live = live[tree[live, root] < _NO_PAIR]
+        live = live[tree[live, root] < no_pair]
     return ids
 
 
+def merge_word(symbols: list[int], pairs: PairTable) -> list[int]:
+    """The same for one word, of any length: its ids after all merges."""
+    known, base = pairs.known(), pairs.base
+    n = len(symbols)
+    width = 1 << (n - 1).bit_length() if n > 1 else 1
+    no_pair = len(pairs.key) * width
+    ids, follow, before = list(symbols), [*range(1, n), -1], list(range(-1, n - 1))
+    tree = [no_pair] * (2 * width)
+
+    def rank(place: int) -> int:
+        nxt = follow[place]
+        found = known.get(ids[place] * base + ids[nxt]) if nxt >= 0 else None
+        return no_pair if found is None else found[0] * width + place
+
+    def put(place: int, value: int) -> None:
+        node = width + place
+        tree[node] = value
+        node >>= 1
+        while node:
+            low, high = tree[2 * node], tree[2 * node + 1]
+            least = low if low < high else high
+            if tree[node] == least:
+                break
+            tree[node] = least
+            node >>= 1
+
+    tree[width:width + n] = [rank(place) for place in range(n)]
+    for node in range(width - 1, 0, -1):
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+    while width > 1 and tree[1] < no_pair:
+        place = tree[1] % width
+        gone = follow[place]
+        ids[place] = known[ids[place] * base + ids[gone]][1]
+        ids[gone], follow[place] = -1, follow[gone]
+        if follow[gone] >= 0:
+            before[follow[gone]] = place
+        put(gone, no_pair)
+        put(place, rank(place))
+        if before[place] >= 0:
+            put(before[place], rank(before[place]))
+    return [i for i in ids if i >= 0]
+
+
 class WordBpe:
     """Encoder for a tokenizer file of words with an end mark: composed, lower-cased, white space dropped.
 
@@ -139,6 +191,10 @@ class WordBpe:
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) >= _WIDE:
+                ids = merge_word([*self.inside[np.frombuffer(raw[:-1], np.uint8)].tolist(), int(self.last[raw[-1]])], self.pairs)
+                self.words[word] = (" ".join([self.digits[i] for i in ids]), " ".join([self.strings[i] for i in ids]), len(ids))
+                continue
             by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((word, raw))
         for width, group in by_width.items():
             # Wide trees in smaller lots: the lot's memory stays the same, whatever the words' length.
