@@ -11,7 +11,9 @@ import hashlib
 import heapq
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from statistics import mean, pstdev
 
 import pyarrow as pa
@@ -51,6 +53,23 @@ def runs(text: str) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in _CANDIDATE.finditer(text)]
 
 
+class _Reach:
+    """Spans by start, with how far any span up to there reaches: one search per run, however many spans."""
+
+    def __init__(self, base: list[tuple[int, int, int, str]]):
+        self.starts = [a for a, *_ in base]
+        self.ends = list(accumulate((e for _, _, e, _ in base), max))
+
+    def covers(self, start: int, stop: int) -> bool:
+        """Whether one span holds all of [start, stop)."""
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.ends[at - 1] >= stop
+
+    def touches(self, start: int, stop: int) -> bool:
+        at = bisect_left(self.starts, stop)
+        return at > 0 and self.ends[at - 1] > start
+
+
 def labelled_strings(docs: DataFrame, per_label: int, text_col: str = "text") -> dict[str, list[str]]:
     """At most ``per_label`` distinct strings of each label, those of the smallest hash, in a fixed order.
 
@@ -63,7 +82,8 @@ def labelled_strings(docs: DataFrame, per_label: int, text_col: str = "text") ->
             base = base_spans(text)
             for _, k, _, value in base:
                 seen[KINDS[k]].add(value)
-            free = [v for s, v in runs(text) if not any(a < s + len(v) and s < e for a, _, e, _ in base)] if base else _CANDIDATE.findall(text)
+            reach = _Reach(base)
+            free = [v for s, v in runs(text) if not reach.touches(s, s + len(v))] if base else _CANDIDATE.findall(text)
             for v in free:
                 seen[PLAIN if len(v) >= LONG else SHORT].add(v)
         out = [(k, *r) for k in LABELS for r in heapq.nsmallest(per_label, ((_rank(v), v) for v in seen[k]))]
@@ -153,7 +173,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if v not in known:
                     known[v] = model.accepts(v)
             if any(map(known.get, found)):
-                marks += [(s, len(KINDS), s + len(v)) for s, v in runs(text) if known[v] and not any(a <= s and s + len(v) <= e for a, _, e, _ in base)]
+                reach = _Reach(base)
+                marks += [(s, len(KINDS), s + len(v)) for s, v in runs(text) if known[v] and not reach.covers(s, s + len(v))]
             out.append([{"start": s, "kind": (*KINDS, GRAMMAR)[k], "stop": e} for s, k, e in sorted(marks)])
             if len(known) > _KNOWN:
                 known = {}

@@ -49,6 +49,8 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: the file has more than 65,536")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.mark = self._ids("\n")[0]
         self.letters = dict(enumerate(byte_alphabet()))

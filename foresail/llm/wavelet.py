@@ -22,6 +22,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
+        if len(ids) and (int(np.min(ids)) < 0 or int(np.max(ids)) >> bits):
+            raise ValueError(f"an id does not fit {bits} bits")
         current = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, supers = [], [], []
         blocks = -(-len(current) // (64 * _BLOCK_WORDS))
