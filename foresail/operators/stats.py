@@ -10,6 +10,7 @@ from foresail.functions.expr import count_of, money, money_sum, ratio
 from foresail.functions.ranks import exact_median
 from foresail.operators.leads import completed_trips, open_leads
 from foresail.schema import DAYS_PER_YEAR, MIN_HISTORY_YEARS
+from foresail.session import settle
 
 
 def _done() -> Column:
@@ -62,15 +63,23 @@ def stage_distribution(leads: DataFrame) -> DataFrame:
     return value_counts(leads, "current_stage")
 
 
-def revenue_stats(leads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sum, mean, exact median, extremes and sample deviation of completed prices."""
-    done = leads.filter(_done() & F.col("trip_price").isNotNull())
+def revenue_stats(leads: DataFrame, by: Sequence[str] = (), approximate: int | None = None) -> DataFrame:
+    """Sum, mean, median, extremes and sample deviation of completed prices.
+
+    The median is exact. With ``approximate`` it comes from a mergeable quantile sketch in the same pass as
+    the other figures: a price whose rank is at most 1/``approximate`` of the rows from the middle."""
+    done = leads.filter(_done() & F.col("trip_price").isNotNull()).select(*by, "trip_price")
     price = F.col("trip_price")
+    if approximate is None:
+        done = settle(done)  # the exact median reads the prices twice more
     totals = done.groupBy(*by).agg(
         F.sum(money(price)).cast("double").alias("total_revenue"), F.count(F.lit(1)).alias("trips"),
         F.min(price).alias("min_trip_value"), F.max(price).alias("max_trip_value"),
-        F.stddev_samp(price).alias("std_trip_value")).filter("trips > 0")
+        F.stddev_samp(price).alias("std_trip_value"),
+        *([] if approximate is None else [F.percentile_approx(price, 0.5, approximate).alias("median_trip_value")])).filter("trips > 0")
     totals = totals.withColumn("average_trip_value", F.col("total_revenue") / F.col("trips"))
+    if approximate is not None:
+        return totals
     median = exact_median(done, "trip_price", by).withColumnRenamed("median", "median_trip_value")
     if by:
         return totals.join(median, list(by))

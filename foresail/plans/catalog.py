@@ -14,6 +14,7 @@ from foresail.functions.expr import as_date
 from foresail.operators import completeness, forecasts as P, funnel, insights as G, leads as B, rates as R
 from foresail.operators import reporting as D, scenarios, series as S, stats as ST
 from foresail.plans import conversion_model as M, forecast as FC, trend as T
+from foresail.plans.boosting import tree_rows
 from foresail.session import bounded, scratch_path, settle
 from foresail.sources import csv_leads, sinks
 from foresail.sources.artifacts import ArtifactStore
@@ -624,6 +625,14 @@ def f3_train_conversion_model(spark, sf):
     return rounded(M.classification_metrics(model.score(cube), weight="weight", by=("is_test",)), 6)
 
 
+@query
+def f3_first_tree(spark, sf):
+    """Splits and leaves of the first round."""
+    model, _ = M.train_conversion_model(_leads(spark, sf), rounds=1)
+    rows = [(node, None if f is None else M.FEATURES[f], cut, value) for _, node, f, cut, value in tree_rows(model.trees)]
+    return rounded(spark.createDataFrame(rows, "node int, feature string, cut double, leaf_value double"), 6)
+
+
 def _value_cube(spark, sf):
     return M.expected_value_cube(B.open_leads(_leads(spark, sf), AS_OF), KEYS)
 

@@ -8,15 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from foresail.functions.expr import money, ratio, series_labels
 from foresail.functions.ranks import global_rank, hash_split, roc_auc
 from foresail.operators.leads import lead_features, resolved_leads
+from foresail.plans.boosting import Tree, boost, margin_of
 from foresail.schema import MIN_TRAINING_ROWS
 from foresail.session import settle
 
@@ -44,10 +41,9 @@ def new_categories(leads: DataFrame, column: str, codes: DataFrame) -> DataFrame
 
 def extend_codes(codes: DataFrame, leads: DataFrame, column: str) -> DataFrame:
     """The dictionary with unseen values appended, in sorted order, after the known ones."""
-    both = codes.unionByName(new_categories(leads, column, codes).withColumn("code", F.lit(None).cast("int")))
-    place = F.row_number().over(Window.partitionBy(F.col("code").isNull()).orderBy("category"))
-    known = F.coalesce(F.max("code").over(Window.partitionBy(F.lit(1))), F.lit(-1))
-    return both.select("category", F.coalesce("code", known + place).alias("code"))
+    known = codes.agg(F.max("code")).first()[0]
+    fresh = global_rank(new_categories(leads, column, codes), [F.col("category")], "place")
+    return codes.select("category", "code").union(fresh.select("category", (F.col("place") + F.lit(0 if known is None else known + 1)).cast("int")))
 
 
 def encode_category(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -75,28 +71,15 @@ def _encoded(rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
 
 
 class ConversionModel:
-    """Fitted trees with the category dictionaries they were trained on."""
+    """Grown trees with the category dictionaries they were trained on."""
 
-    def __init__(self, trees: PipelineModel, codes: dict[str, DataFrame]):
-        self.trees, self.codes = trees, codes
+    def __init__(self, trees: list[Tree], codes: dict[str, DataFrame], depth: int = 4):
+        self.trees, self.codes, self.depth = trees, codes, depth
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``score``, the probability of conversion, to rows with the raw features."""
-        scored = self.trees.transform(_encoded(rows, self.codes))
-        return (scored.withColumn("score", vector_to_array("probability")[1])
-                .drop("features", "rawPrediction", "probability", "prediction",
-                      *[f"{c}_code" for c in CATEGORIES]))
-
-
-def best_round(losses: Sequence[float], patience: int) -> int:
-    """Number of trees with the least held-out loss, up to the first ``patience`` rounds without a new least."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
+        margin = margin_of(self.trees, FEATURES, self.depth)
+        return _encoded(rows, self.codes).withColumn("score", 1 / (1 + F.exp(-margin))).drop(*[f"{c}_code" for c in CATEGORIES])
 
 
 def train_conversion_model(leads: DataFrame, rounds: int = 100, depth: int = 4, rate: float = 0.1,
@@ -107,27 +90,11 @@ def train_conversion_model(leads: DataFrame, rounds: int = 100, depth: int = 4,
     if size < MIN_TRAINING_ROWS:
         raise ValueError(f"{int(size)} resolved leads; at least {MIN_TRAINING_ROWS} are needed to train")
     codes = {c: settle(category_codes(cube, c)) for c in CATEGORIES}
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    data = settle(_encoded(cube, codes).withColumn("converted", F.col("converted").cast("double")))
-    learn, held = data.filter(~F.col("is_test")), data.filter("is_test")
-
-    def boosted(n: int) -> PipelineModel:
-        trees = GBTClassifier(labelCol="converted", featuresCol="features", weightCol="weight", maxDepth=depth,
-                              maxIter=n, stepSize=rate, seed=42, cacheNodeIds=False)
-        return Pipeline(stages=[assembler, trees]).fit(learn)
-
-    # The first trees of a longer run are those of a shorter one: runs grow until no later round can count.
-    tested = not held.isEmpty()
-    n = min(rounds, 2 * patience) if tested else rounds
-    model = boosted(n)
-    while tested:
-        best = best_round(model.stages[-1].evaluateEachIteration(assembler.transform(held)), patience)
-        if n == rounds or n - best >= patience:
-            model = model if best == n else boosted(best)
-            break
-        n = min(rounds, 2 * n)
-        model = boosted(n)
-    return ConversionModel(model, codes), cube
+    data = _encoded(cube, codes).select(*FEATURES, "converted", "weight", "is_test")
+    # one partition per hundred thousand distinct rows: a small cube is added up without a shuffle
+    data = settle(data.coalesce(1 + cube.count() // 100_000))
+    trees, _ = boost(data, FEATURES, "converted", "weight", "is_test", rounds, depth, rate, patience)
+    return ConversionModel(trees, codes, depth), cube
 
 
 def classification_metrics(scored: DataFrame, score: str = "score", label: str = "converted",

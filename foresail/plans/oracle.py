@@ -380,6 +380,22 @@ _cte("scores", "split", """
   SELECT *, (duration_days + 3*extract(month FROM inquiry_date) + 20*is_repeat_customer)/100.0::DOUBLE score FROM split""")
 _cte("ranked", "scores", """
   SELECT *, rank() OVER (PARTITION BY is_test ORDER BY score) + (count(*) OVER (PARTITION BY is_test, score) - 1)/2.0 mid FROM scores""")
+_cte("coded", "split", """
+  SELECT lead_id, converted AS y, is_test, [dense_rank() OVER (ORDER BY coalesce(destination, 'Unknown')) - 1, dense_rank() OVER (ORDER BY coalesce(lead_source, 'Unknown')) - 1,
+    coalesce(duration_days, 0), coalesce(is_repeat_customer, 0), extract(month FROM inquiry_date), extract(quarter FROM inquiry_date),
+    CASE WHEN extract(month FROM inquiry_date) IN (1,2,3,9,10) THEN 1 ELSE 0 END]::DOUBLE[] AS x FROM split""")
+_cte("level0", "coded", "SELECT lead_id, y, x, 1 AS node FROM coded WHERE NOT is_test")
+for _k in range(4):  # gain of every cut of every feature, in second order around a probability of one half
+    _cte(f"cuts{_k}", f"level{_k}", f"""
+  SELECT *, gl*gl/(hl+1) + (g-gl)*(g-gl)/(h-hl+1) - g*g/(h+1) AS gain FROM (
+    SELECT node, f, v, lead(v) OVER seen AS after, sum(g) OVER seen AS gl, sum(h) OVER seen AS hl, sum(g) OVER (PARTITION BY node, f) AS g, sum(h) OVER (PARTITION BY node, f) AS h
+    FROM (SELECT node, f, x[f] AS v, sum(0.5::DOUBLE - y) AS g, sum(0.25::DOUBLE) AS h FROM (SELECT *, unnest(range(1, 8)) AS f FROM level{_k}) GROUP BY node, f, v)
+    WINDOW seen AS (PARTITION BY node, f ORDER BY v)) WHERE after IS NOT NULL AND hl >= 1 AND h - hl >= 1""")
+    _cte(f"best{_k}", f"cuts{_k}", f"""
+  SELECT node, f, (v + after)/2 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY f, v) AS place
+    FROM (SELECT *, max(gain) OVER (PARTITION BY node) AS most FROM cuts{_k}) WHERE gain > 1e-6 AND gain >= most*(1 - 1e-9)) WHERE place = 1""")
+    _cte(f"level{_k + 1}", f"level{_k} best{_k}", f"""
+  SELECT lead_id, y, x, CASE WHEN b.f IS NULL THEN l.node WHEN x[b.f] <= cut THEN 2*l.node ELSE 2*l.node + 1 END AS node FROM level{_k} l LEFT JOIN best{_k} b ON b.node = l.node""")
 _cte("periods", "leads", "SELECT strftime(inquiry_date, '%Y-%m') period, inquiry_date FROM leads")
 _cte("known_periods", "periods", "SELECT period, row_number() OVER (ORDER BY period) - 1 code FROM (SELECT DISTINCT period FROM periods WHERE inquiry_date < DATE '2001-01-01')")
 _cte("new_periods", "periods known_periods", "SELECT DISTINCT period FROM periods WHERE period NOT IN (SELECT period FROM known_periods)")
@@ -591,6 +607,9 @@ def oracle_sql() -> dict[str, str]:
         "f1_category_codes": _sql("known_periods new_periods", """SELECT period AS category, code FROM known_periods
             UNION ALL SELECT period, (SELECT count(*) FROM known_periods) + row_number() OVER (ORDER BY period) - 1 FROM new_periods"""),
         "f2_stratified_split": _sql("split", "SELECT lead_id, converted, is_test FROM split"),
+        "f3_first_tree": _sql("level4", """SELECT CAST(node AS INT) AS node, ['destination_code', 'lead_source_code', 'duration_days', 'is_repeat_customer', 'inquiry_month', 'inquiry_quarter', 'is_peak_season'][f] AS feature,
+            round(cut, 6) AS cut, NULL::DOUBLE AS leaf_value FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1 UNION ALL SELECT * FROM best2 UNION ALL SELECT * FROM best3)
+            UNION ALL SELECT CAST(node AS INT), NULL, NULL, round(-sum(0.5::DOUBLE - y)/(sum(0.25::DOUBLE) + 1)*0.1, 6) FROM level4 GROUP BY node"""),
         "f4_expected_revenue": _sql("score_totals", """SELECT series_id, leads, round(open_value, 2) AS open_value, round(mean_probability, 6) AS mean_probability, round(total, 2) AS total FROM score_totals"""),
         "f5_rule_forecast": _sql("rule_totals", "SELECT series_id, leads, round(open_value, 2) AS open_value, round(total, 2) AS total FROM rule_totals"),
         "f6_spread_12_months": _sql("rules", f"SELECT {bands}, method FROM rules"),

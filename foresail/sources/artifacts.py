@@ -1,11 +1,11 @@
-"""Store for learned artifacts: tables as Parquet, fitted trees as Spark ML folders."""
+"""Store for learned artifacts, all of them Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foresail.plans.boosting import TREE_SCHEMA, tree_rows, trees_of
 from foresail.plans.conversion_model import CATEGORIES, ConversionModel
 
 
@@ -30,12 +30,15 @@ class ArtifactStore:
             return None
 
     def save_model(self, name: str, model: ConversionModel) -> None:
-        model.trees.write().overwrite().save(self._path(f"{name}/trees"))
+        trees = self.spark.createDataFrame(tree_rows(model.trees), TREE_SCHEMA).withColumn("depth", F.lit(model.depth))
+        self.save_table(f"{name}/trees", trees.coalesce(1))
         for column in CATEGORIES:
             self.save_table(f"{name}/codes_{column}", model.codes[column])
 
     def load_model(self, name: str) -> ConversionModel | None:
         codes = {c: self.load_table(f"{name}/codes_{c}") for c in CATEGORIES}
-        if any(t is None for t in codes.values()):
+        trees = self.load_table(f"{name}/trees")
+        if trees is None or any(t is None for t in codes.values()):
             return None
-        return ConversionModel(PipelineModel.load(self._path(f"{name}/trees")), codes)
+        rows = trees.collect()
+        return ConversionModel(trees_of(rows), codes, rows[0].depth)
