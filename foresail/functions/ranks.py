@@ -56,7 +56,9 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     found = wanted.filter("lo = hi").select(*keys, "lo")
     while not open_.isEmpty():
         inside = values.join(open_.select(*keys, "r", "base", "lo", "hi"), [*keys, "r"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        # halves, lest the range of the largest doubles overflow; the smallest ones have no half
+        part = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        share = F.coalesce(part, F.when(F.col("v") == F.col("lo"), 0.0).otherwise(1.0))
         cut = inside.withColumn("b", F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).groupBy(*keys, "r", "base", "b").agg(
             F.sum("n").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         now = bounded(_holding(cut, [*keys, "r"], "b"))
