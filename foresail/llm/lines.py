@@ -95,9 +95,13 @@ def document_lines(docs: DataFrame, key: Callable[[Column], Column], share: Shar
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_spaced(text), "\n")).alias("line", "words"))
     cut = each.where(F.col("words").rlike("[^ ]")).select("doc_id", "text_hash", "line", _tokens(F.col("words"), key).alias("t"))
     t = F.col("t")
+
+    def draw(half: Column, k: int) -> Column:
+        return F.array_min(F.transform(half, lambda x: F.hash(F.lit(k), x)))
+
     # from the rarer half, cut once for all draws
-    drawn = F.get(F.transform(F.array(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int"))), lambda half: F.array(
-        *(F.array_min(F.transform(half, lambda x, k=k: F.hash(F.lit(k), x))) for k in range(LEADS)))), 0)
+    rarer = F.array(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int")))
+    drawn = F.get(F.transform(rarer, lambda half: F.array(*(draw(half, k) for k in range(LEADS)))), 0)
     prefix = F.transform(F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * F.lit(a) / F.lit(b)).cast("int") + 1), lambda x: F.hash(x))
     return cut.select("doc_id", "text_hash", "line", F.xxhash64(t).alias("sid"), F.size(t).alias("n"), _parity(t).alias("parity"), _wide_parity(t).alias("wide"), drawn.alias("leads"), prefix.alias("prefix"))
 
