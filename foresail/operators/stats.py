@@ -137,7 +137,13 @@ def top_categories(leads: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def top_category(leads: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Most frequent value; ties go to the alphabetically first."""
-    counted = value_counts(leads, column, by)
-    best = F.min(F.struct((-F.col("leads")).alias("n"), F.col(column).alias("v")))
-    return (counted.groupBy(*by).agg(best.alias("_b")).filter(F.col("_b").isNotNull())
-            .select(*by, F.col("_b.v").alias("top"), (-F.col("_b.n")).alias("leads")))
+    return top_values(leads, [column], by).drop("column_name")
+
+
+def top_values(leads: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Most frequent value of every column, all counted in one pass; ties go to the alphabetically first."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]))
+    counted = (leads.select(*by, each.alias("_c")).select(*by, "_c.*").filter("v is not null")
+               .groupBy(*by, "column_name", "v").agg(F.count(F.lit(1)).alias("leads")))
+    best = F.min(F.struct((-F.col("leads")).alias("n"), "v"))
+    return counted.groupBy(*by, "column_name").agg(best.alias("_b")).select(*by, "column_name", F.col("_b.v").alias("top"), (-F.col("_b.n")).alias("leads"))

@@ -132,8 +132,12 @@ def a3_coerce_dates(spark, sf):
 
 @query
 def a4_export_series_csv(spark, sf):
-    return sinks.export_rows(_points(spark, sf)).withColumnsRenamed(
-        {"Date": "date_text", "Revenue": "revenue_text", "Type": "type_text", "Bookings": "bookings_text"})
+    """Written as CSV and read back by each file's header."""
+    path = scratch_path(spark, "series-csv")
+    sinks.export_series_csv(_points(spark, sf), path)
+    return sinks.read_series_csv(spark, path).select(
+        "series_id", F.to_date("Date", "MMM yyyy").alias("month"), F.col("Date").alias("date_text"), F.col("Revenue").alias("revenue_text"),
+        F.col("Type").alias("type_text"), F.nullif("Bookings", F.lit("")).alias("bookings_text"))
 
 
 @query
@@ -151,6 +155,16 @@ def a6_artifact_store(spark, sf):
     return rounded(store.load_table("rates"), 6)
 
 
+@query
+def a6_model_round_trip(spark, sf):
+    """A model of one round, saved over another one and loaded again: its splits and leaves."""
+    store = ArtifactStore(spark, scratch_path(spark, "artifacts"))
+    model, _ = M.train_conversion_model(_leads(spark, sf), rounds=1)
+    store.save_model("conversion", M.ConversionModel(model.trees * 2, model.codes))
+    store.save_model("conversion", model)
+    return _tree_table(spark, store.load_model("conversion"))
+
+
 @query
 def a7_saved_forecasts(spark, sf):
     """Three snapshots, one of them deleted by an admin; newest first."""
@@ -217,7 +231,7 @@ def _response(spark, sf):
 
 @query
 def b8_mask_for_role(spark, sf):
-    response = _response(spark, sf)
+    response = settle(_response(spark, sf))  # computed once, not once per role
     views = [D.mask_for_role(response, role).select(
         F.lit(role).alias("role"), "series_id", F.array_join("insights", " / ").alias("insights"),
         F.array_join("key_drivers", " / ").alias("key_drivers")) for role in ("admin", "analyst")]
@@ -365,9 +379,10 @@ def d10_missing_values(spark, sf):
 
 @query
 def d11_duplicate_records(spark, sf):
-    """Leads without their id, so that equal enquiries exist."""
-    facts = _leads(spark, sf).select("destination", "lead_source", "current_stage", "duration_days", "trip_date")
-    return ST.duplicate_records(facts)
+    """All columns of all leads, every tenth lead once more."""
+    leads = _leads(spark, sf)
+    again = leads.filter(F.substring("lead_id", 6, 20).cast("long") % 10 == 0)
+    return ST.duplicate_records(leads.unionByName(again))
 
 
 @query
@@ -477,10 +492,7 @@ def d30_volatility_class(spark, sf):
 
 @query
 def d31_top_category(spark, sf):
-    leads = _leads(spark, sf)
-    tops = [ST.top_category(leads, c).select(F.lit(c).alias("column_name"), "top", "leads")
-            for c in ("lead_source", "destination")]
-    return tops[0].unionByName(tops[1])
+    return ST.top_values(_leads(spark, sf), ["lead_source", "destination"])
 
 
 def _scored_split(spark, sf):
@@ -625,12 +637,16 @@ def f3_train_conversion_model(spark, sf):
     return rounded(M.classification_metrics(model.score(cube), weight="weight", by=("is_test",)), 6)
 
 
+def _tree_table(spark, model):
+    rows = [(node, None if f is None else M.FEATURES[f], cut, value) for _, node, f, cut, value in tree_rows(model.trees)]
+    return rounded(spark.createDataFrame(rows, "node int, feature string, cut double, leaf_value double"), 6)
+
+
 @query
 def f3_first_tree(spark, sf):
     """Splits and leaves of the first round."""
     model, _ = M.train_conversion_model(_leads(spark, sf), rounds=1)
-    rows = [(node, None if f is None else M.FEATURES[f], cut, value) for _, node, f, cut, value in tree_rows(model.trees)]
-    return rounded(spark.createDataFrame(rows, "node int, feature string, cut double, leaf_value double"), 6)
+    return _tree_table(spark, model)
 
 
 def _value_cube(spark, sf):

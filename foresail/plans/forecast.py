@@ -15,8 +15,9 @@ from foresail.functions.expr import as_date, money, month_of, months_after
 from foresail.operators import forecasts as P
 from foresail.operators.reporting import combined_series, monthly_bookings
 from foresail.operators.rates import SEGMENT, rates_from_counts, rule_totals, weighted_open_value
-from foresail.operators.series import (finish_monthly, drop_anomalous_last_month, roll_up, series_profile,
+from foresail.operators.series import (drop_anomalous_last_month, finish_monthly, roll_up, series_profile,
                                        trimmed_series)
+from foresail.operators.stats import history_span
 from foresail.plans.trend import seasonal_forecast
 from foresail.schema import ACTIVE_STAGES, FUNNEL_STAGES, STAGE_DATE
 from foresail.session import settle
@@ -142,12 +143,17 @@ def forecast_from_cube(cube: DataFrame, as_of, keys: Sequence[str] = (), scored_
     return finish_ensemble(P.combine(reduce(DataFrame.unionByName, parts)), profile)
 
 
-def forecast_12_months(leads: DataFrame, as_of, keys: Sequence[str] = (), **components) -> DataFrame:
+def forecast_12_months(leads: DataFrame, as_of, keys: Sequence[str] = (), min_years: float | None = None, **components) -> DataFrame:
     """Ensemble forecast per series: month, forecast, lower, upper, method.
 
+    With ``min_years`` leads whose completed trips span less are refused.
     ``scored_totals`` (series_id, total) adds the model-scored component; ``rates`` replaces the
     rates learned from the leads, e.g. by ones loaded from the artifact store; ``use_seasonal``
     and ``use_rules`` switch the other components off."""
+    if min_years is not None:
+        span = history_span(leads, min_years).first()
+        if not span.eligible:
+            raise ValueError(f"completed history spans {span.years or 0:.2f} years; {min_years} required")
     return forecast_from_cube(settle(lead_cube(leads, keys, as_of)), as_of, keys, **components)
 
 

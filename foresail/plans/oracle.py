@@ -520,7 +520,7 @@ def oracle_sql() -> dict[str, str]:
         "d10_missing_values": _sql("leads", " UNION ALL ".join(
             f"SELECT '{c.strip()}' AS column_name, count(*) - count({c.strip()}) AS missing FROM leads" for c in leads_cols.split(","))),
         "d11_duplicate_records": _sql("leads", """SELECT CAST(sum(n-1) AS BIGINT) AS duplicate_records FROM (
-            SELECT count(*) n FROM leads GROUP BY destination, lead_source, current_stage, duration_days, trip_date)"""),
+            SELECT count(*) n, lead_id, inquiry_date, destination, trip_price, lead_source, current_stage, is_repeat_customer, quote_date, booking_date, trip_date, final_payment_date, duration_days FROM (FROM leads UNION ALL FROM leads WHERE CAST(substr(lead_id, 6) AS BIGINT) % 10 = 0) GROUP BY ALL)"""),
         "d12_date_ranges": _sql("leads", """SELECT min(inquiry_date) AS inquiry_start, max(inquiry_date) AS inquiry_end, min(trip_date) AS trip_start,
             max(trip_date) AS trip_end, round_even((max(trip_date)-min(trip_date))/365.25::DOUBLE, 2) AS trip_span_years FROM leads"""),
         "d13_funnel_date_range": _sql("leads", "SELECT min(inquiry_date) AS min_date, max(inquiry_date) AS max_date FROM leads"),
@@ -610,6 +610,9 @@ def oracle_sql() -> dict[str, str]:
         "f3_first_tree": _sql("level4", """SELECT CAST(node AS INT) AS node, ['destination_code', 'lead_source_code', 'duration_days', 'is_repeat_customer', 'inquiry_month', 'inquiry_quarter', 'is_peak_season'][f] AS feature,
             round(cut, 6) AS cut, NULL::DOUBLE AS leaf_value FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1 UNION ALL SELECT * FROM best2 UNION ALL SELECT * FROM best3)
             UNION ALL SELECT CAST(node AS INT), NULL, NULL, round(-sum(0.5::DOUBLE - y)/(sum(0.25::DOUBLE) + 1)*0.1, 6) FROM level4 GROUP BY node"""),
+        "a6_model_round_trip": _sql("level4", """SELECT CAST(node AS INT) AS node, ['destination_code', 'lead_source_code', 'duration_days', 'is_repeat_customer', 'inquiry_month', 'inquiry_quarter', 'is_peak_season'][f] AS feature,
+            round(cut, 6) AS cut, NULL::DOUBLE AS leaf_value FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1 UNION ALL SELECT * FROM best2 UNION ALL SELECT * FROM best3)
+            UNION ALL SELECT CAST(node AS INT), NULL, NULL, round(-sum(0.5::DOUBLE - y)/(sum(0.25::DOUBLE) + 1)*0.1, 6) FROM level4 GROUP BY node"""),
         "f4_expected_revenue": _sql("score_totals", """SELECT series_id, leads, round(open_value, 2) AS open_value, round(mean_probability, 6) AS mean_probability, round(total, 2) AS total FROM score_totals"""),
         "f5_rule_forecast": _sql("rule_totals", "SELECT series_id, leads, round(open_value, 2) AS open_value, round(total, 2) AS total FROM rule_totals"),
         "f6_spread_12_months": _sql("rules", f"SELECT {bands}, method FROM rules"),

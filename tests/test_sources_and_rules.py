@@ -95,13 +95,51 @@ def test_exports(spark, tmp_path):
     assert (rows[0].Date, rows[0].Revenue, rows[0].Type, rows[0].Bookings) == ("Jan 2024", "$85,000", "Historical", "42")
     sinks.export_series_csv(points(spark), str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert lines[0] == "Date,Revenue,Type,Bookings" and lines[1] == '"Jan 2024","$85,000","Historical","42"'
-    assert lines[-1] == '"Dec 2024","$165,000","Forecast",""'
+    assert lines[0] == "series_id,Date,Revenue,Type,Bookings" and lines[1] == '"ALL","Jan 2024","$85,000","Historical","42"'
+    assert lines[-1] == '"ALL","Dec 2024","$165,000","Forecast",""'
     records = [json.loads(r.record) for r in sinks.forecast_json(
         points(spark).filter("type = 'forecast'").withColumnRenamed("revenue", "forecast")).collect()]
     assert records[0] == {"date": "2024-07-01", "forecast": 120000.0, "lower": 119000.0, "upper": 121000.0}
 
 
+def test_many_series_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SERIES_PER_FILE", 10)
+    names = [f'say "{k}",\n{k}' for k in range(35)]
+    some = spark.createDataFrame([(n,) for n in names], "series_id string").crossJoin(points(spark).drop("series_id")).repartition(9)
+    path = tmp_path / "out"
+    sinks.export_series_csv(some, str(path))
+    files = list(path.glob("part-*"))
+    assert len(files) <= 4 and all(f.read_text().startswith("series_id,Date,") for f in files)
+    back = sinks.read_series_csv(spark, str(path)).collect()
+    want = sinks.export_rows(some).collect()
+    assert sorted((r.series_id, r.Date, r.Revenue, r.Type, r.Bookings or "") for r in back) == sorted((r.series_id, r.Date, r.Revenue, r.Type, r.Bookings or "") for r in want)
+    sinks.write_forecast_json(some.withColumnRenamed("revenue", "forecast"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 35 * 12 and len(list((tmp_path / "json").glob("part-*"))) <= 4
+
+
+def test_a_saved_table_is_replaced_in_one_step(spark, tmp_path):
+    from foresail.sources.artifacts import ArtifactStore
+    store = ArtifactStore(spark, str(tmp_path))
+    assert store.load_table("t") is None
+    store.save_table("t", spark.range(3))
+    before = store.load_table("t")
+    store.save_table("t", before.withColumn("id", before.id + 10))  # may read what it replaces
+    assert sorted(r.id for r in before.collect()) == [0, 1, 2]     # a reader of before still reads it
+    assert sorted(r.id for r in store.load_table("t").collect()) == [10, 11, 12]
+    spark.range(9).write.parquet(store._path("t", "halfway"))        # a save that died before its last step
+    assert store.load_table("t").count() == 3
+
+
+def test_short_history_is_refused(spark, make_leads):
+    from foresail.plans.forecast import forecast_12_months
+    leads = make_leads([{"current_stage": "completed", "trip_date": f"2023-0{m}-15", "inquiry_date": "2023-01-01", "trip_price": 10.0} for m in range(1, 7)])
+    with pytest.raises(ValueError, match="0.41 years; 1.0 required"):
+        forecast_12_months(leads, "2023-12-31", min_years=1.0)
+    with pytest.raises(ValueError, match="0.00 years"):
+        forecast_12_months(leads.limit(0), "2023-12-31", min_years=1.0)
+    assert forecast_12_months(leads, "2023-12-31", min_years=0.25).count() == 12
+
+
 def test_snapshots(spark, make_forecast, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     assert store.newest_first().count() == 0
