@@ -687,6 +687,19 @@ def f7_seasonal_trend_linear(spark, sf):
     return _bands(T.seasonal_forecast(_history(spark, sf), "linear"))
 
 
+@query
+def f7_trend_changes(spark, sf):
+    """Lines that may bend once."""
+    return _bands(T.seasonal_forecast(_history(spark, sf), changes=True))
+
+
+@query
+def f7_supplier_changes(spark, sf):
+    sales = S.monthly_revenue(supplier_sales(spark, sf), ("supplier",), AS_OF)
+    model = T.fit_seasonal_trend(S.trimmed_series(sales), changes=True)
+    return rounded(model.select("series_id", F.col("n").alias("months"), "kink", "bend"), 2)
+
+
 @query
 def f7_supplier_trend(spark, sf):
     """One model per supplier over line items."""

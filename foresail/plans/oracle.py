@@ -142,7 +142,7 @@ _cte("profile", "post", """
      FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month DESC) e FROM post) GROUP BY series_id)""")
 
 
-def _trend_chain(src: str, p: str, key: str = "series_id", linear: bool = False, months: int = 12) -> None:
+def _trend_chain(src: str, p: str, key: str = "series_id", linear: bool = False, months: int = 12, changes: bool = False) -> None:
     """Growth mode, fit and raw prediction over ``src`` grouped by ``key``."""
     on = " AND ".join(f"a.{k}=b.{k}" for k in key.split(", "))
     _cte(f"{p}num", src, f"""
@@ -158,11 +158,26 @@ def _trend_chain(src: str, p: str, key: str = "series_id", linear: bool = False,
   SELECT a.*, b.logistic, b.cap, CASE WHEN b.logistic THEN
      ln(least(greatest(a.revenue, 0.001*b.cap), 0.999*b.cap) / (b.cap - least(greatest(a.revenue, 0.001*b.cap), 0.999*b.cap)))
      ELSE a.revenue END y FROM {p}num a JOIN {p}growth b ON {on}""")
-    _cte(f"{p}line", f"{p}y", f"""
+    _cte(f"{p}straight", f"{p}y", f"""
   SELECT {key}, coalesce(regr_slope(y, t), 0) slope, coalesce(regr_intercept(y, t), avg(y)) intercept FROM {p}y GROUP BY {key}""")
+    if changes:  # one bend, where the error falls by more than its cost: normal equations by place
+        _cte(f"{p}sums", f"{p}y", f"""
+  SELECT {key}, kink, max(n)::DOUBLE m, sum(t::DOUBLE) st, sum(y) sy, sum(h) sh, sum(t::DOUBLE*t) stt, sum(t*y) sty, sum(y*y) syy, sum(h*h) shh, sum(t*h) sth, sum(h*y) shy
+  FROM (SELECT {key}, n, t, y, kink, greatest(t - kink, 0)::DOUBLE h FROM (
+    SELECT *, unnest(list_distinct(list_transform(range(1, 25), lambda k: 4*n*k // 125))) kink FROM {p}y WHERE n >= 12) WHERE kink BETWEEN 1 AND n - 3) GROUP BY {key}, kink""")
+        _cte(f"{p}bent", f"{p}sums", f"""
+  SELECT {key}, kink, bend, slope, (sy - slope*st - bend*sh)/m intercept, m, greatest(yy - ty*ty/tt, yy*1e-9) err0, greatest(yy - slope*ty - bend*hy, yy*1e-9) err1
+  FROM (SELECT *, (tt*hy - th*ty)/(tt*hh - th*th) bend, (hh*ty - th*hy)/(tt*hh - th*th) slope FROM (
+    SELECT *, stt - st*st/m tt, sty - st*sy/m ty, syy - sy*sy/m yy, shh - sh*sh/m hh, sth - st*sh/m th, shy - sh*sy/m hy FROM {p}sums))""")
+        _cte(f"{p}line", f"{p}straight {p}bent", f"""
+  SELECT {key}, coalesce(b.slope, s.slope) slope, coalesce(b.intercept, s.intercept) intercept, coalesce(b.bend, 0) bend, coalesce(b.kink, 0) kink
+  FROM {p}straight s LEFT JOIN (SELECT * FROM {p}bent WHERE err1 > 0 AND m*ln(err0/err1) > 3*ln(m)
+    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY err1, kink) = 1) b USING ({key})""")
+    else:
+        _cte(f"{p}line", f"{p}straight", f"SELECT *, 0 bend, 0 kink FROM {p}straight")
     _cte(f"{p}resid", f"{p}y {p}line", f"""
   SELECT a.*, extract(month FROM a.month) moy, a.revenue - CASE WHEN a.logistic
-     THEN a.cap/(1+exp(-(b.intercept+b.slope*a.t))) ELSE b.intercept+b.slope*a.t END r
+     THEN a.cap/(1+exp(-(b.intercept+b.slope*a.t+b.bend*greatest(a.t-b.kink, 0)))) ELSE b.intercept+b.slope*a.t+b.bend*greatest(a.t-b.kink, 0) END r
   FROM {p}y a JOIN {p}line b ON {on}""")
     _cte(f"{p}effect", f"{p}resid", f"SELECT {key}, moy, avg(r) effect FROM {p}resid GROUP BY {key}, moy")
     _cte(f"{p}season", f"{p}effect", f"""
@@ -174,8 +189,8 @@ def _trend_chain(src: str, p: str, key: str = "series_id", linear: bool = False,
     _cte(f"{p}raw", f"{p}growth {p}line {p}sigma {p}season", f"""
   SELECT {key}, month, h, f forecast, f-1.2816*sigma lower, f+1.2816*sigma upper FROM (
    SELECT {key}, h, sigma, CAST(last_month + to_months(CAST(h AS INT)) AS DATE) AS month,
-     CASE WHEN logistic THEN cap/(1+exp(-(intercept+slope*(n-1+h)))) ELSE intercept+slope*(n-1+h) END + coalesce(seasonal, 0) f
-   FROM (SELECT *, extract(month FROM last_month + to_months(CAST(h AS INT))) moy
+     CASE WHEN logistic THEN cap/(1+exp(-line)) ELSE line END + coalesce(seasonal, 0) f
+   FROM (SELECT *, extract(month FROM last_month + to_months(CAST(h AS INT))) moy, intercept+slope*(n-1+h)+bend*greatest(n-1+h-kink, 0) line
          FROM {p}growth JOIN {p}line {using} JOIN {p}sigma {using}, range(1, {months + 1}) hh(h))
    LEFT JOIN {p}season USING ({key}, moy))""")
     if key == "series_id":
@@ -190,6 +205,8 @@ _trend_chain("post", "tl_", linear=True)
 _trend_chain("hist", "th_")
 _trend_chain("hist", "thl_", linear=True)
 _trend_chain("sup_hist", "ts_")
+_trend_chain("hist", "thc_", changes=True)
+_trend_chain("sup_hist", "tsc_", changes=True)
 
 _cte("bt_hist", "hist", """
   SELECT a.series_id, b.month cutoff, a.month, a.revenue FROM hist a
@@ -617,6 +634,8 @@ def oracle_sql() -> dict[str, str]:
         "f5_rule_forecast": _sql("rule_totals", "SELECT series_id, leads, round(open_value, 2) AS open_value, round(total, 2) AS total FROM rule_totals"),
         "f6_spread_12_months": _sql("rules", f"SELECT {bands}, method FROM rules"),
         "f7_seasonal_trend": _sql("th_fc", f"SELECT {bands} FROM th_fc"),
+        "f7_trend_changes": _sql("thc_fc", f"SELECT {bands} FROM thc_fc"),
+        "f7_supplier_changes": _sql("tsc_growth tsc_line", "SELECT series_id, n AS months, CAST(kink AS INT) AS kink, round(bend, 2) AS bend FROM tsc_growth JOIN tsc_line USING (series_id)"),
         "f7_seasonal_trend_linear": _sql("thl_fc", f"SELECT {bands} FROM thl_fc"),
         "f7_supplier_trend": _sql("ts_fc", f"SELECT {bands} FROM ts_fc"),
         "f8_rolling_origin_backtest": _sql("backtest", "SELECT series_id, cutoff, h, month, round(forecast, 0) AS forecast, round(actual, 4) AS actual FROM backtest"),

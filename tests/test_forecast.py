@@ -210,3 +210,27 @@ def test_loaded_rates_replace_learned_ones(spark, make_leads):
                                                     "inquiry_date": "2020-12-01", "destination": "X"}])
     out = FC.forecast_12_months(leads, "2020-12-31", rates=fallback_rates(spark), use_seasonal=False)
     assert out.count() == 12
+
+
+def test_a_bend_beats_the_straight_line(spark, make_series):
+    rng = np.random.default_rng(3)
+    t = np.arange(60)
+    kinked = 1000 + 20 * t - 45 * np.maximum(t - 30, 0) + rng.normal(0, 15, 60) + 1000
+    straight = 5000 + 30 * t + rng.normal(0, 40, 60)
+    both = make_series(kinked.tolist(), series_id="kinked").unionByName(make_series(straight.tolist(), series_id="straight"))
+    model = {r.series_id: r for r in T.fit_seasonal_trend(both, growth="linear", changes=True).collect()}
+    assert abs(model["kinked"].kink - 30) <= 2 and model["kinked"].bend == pytest.approx(-45, abs=3)
+    assert (model["straight"].kink, model["straight"].bend) == (0, 0.0)
+    # the same by least squares at every place
+    best = {}
+    for kink in sorted({4 * 60 * k // 125 for k in range(1, 25)}):
+        x = np.column_stack([np.ones(60), t, np.maximum(t - kink, 0)])
+        beta, *_ = np.linalg.lstsq(x, kinked, rcond=None)
+        best[kink] = (((kinked - x @ beta) ** 2).sum(), beta)
+    kink = min(best, key=lambda k: best[k][0])
+    row = model["kinked"]
+    assert row.kink == kink and (row.intercept, row.slope, row.bend) == pytest.approx(tuple(best[kink][1]))
+    error = {c: T.backtest_metrics(T.rolling_origin(both, changes=c).filter("series_id = 'kinked' and cutoff >= '2023-01-01'")).first().mae for c in (False, True)}
+    assert error[True] < 0.5 * error[False]
+    assert T.fit_seasonal_trend(make_series([1.0] * 20), changes=True).first().bend == 0.0
+    assert T.fit_seasonal_trend(make_series([1.0, 2.0]), changes=True).first().bend == 0.0
