@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from foresail.functions.expr import count_of, money, series_labels
-from foresail.schema import ACTIVE_STAGES, FALLBACK_RATES, FUNNEL_STAGES, MIN_SEGMENT_LEADS, STAGE_DATE
+from foresail.schema import ACTIVE_STAGES, ALL_STAGES, FALLBACK_RATES, FUNNEL_STAGES, MIN_SEGMENT_LEADS, STAGE_DATE
 
 SEGMENT = ("lead_source", "is_repeat_customer")
 
@@ -75,13 +75,13 @@ def fallback_rates(spark) -> DataFrame:
 def lookup_conversion_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """Add ``conversion_rate`` and ``tier`` (segmented, flat, missing) to rows with a current_stage.
 
-    Flat rates are at most one row per active stage and are broadcast. The segment table grows
+    Flat rates are at most one row per stage of the model and are broadcast. The segment table grows
     with the number of sources: for a lookup on single leads pass ``bounded(rates)``, which
     broadcasts it behind a check of its size."""
     segment = (rates.filter(~F.col("is_flat") & F.col("rate").isNotNull())
                .select(F.col("stage").alias("current_stage"), *SEGMENT, F.col("rate").alias("_seg")))
-    flat = (rates.filter(F.col("is_flat"))
-            .select(F.col("stage").alias("current_stage"), F.col("rate").alias("_flat")))
+    flat = (rates.filter(F.col("is_flat") & F.col("stage").isin(*ALL_STAGES))
+            .groupBy(F.col("stage").alias("current_stage")).agg(F.max("rate").alias("_flat")))
     return (rows.join(segment, ["current_stage", *SEGMENT], "left")
             .join(F.broadcast(flat), "current_stage", "left")
             .withColumn("conversion_rate", F.coalesce("_seg", "_flat", F.lit(0.0)))

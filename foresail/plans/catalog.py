@@ -507,7 +507,7 @@ def d32_classification_metrics(spark, sf):
 
 @query
 def d33_backtest_metrics(spark, sf):
-    return rounded(T.backtest_metrics(T.rolling_origin(settle(_history(spark, sf)))), 2, mape=6, mse=-6)
+    return rounded(T.backtest_metrics(T.rolling_origin(settle(_history(spark, sf)))), 2, mape=6, mse=-3)
 
 
 # --- windows and time series -------------------------------------------------------------
@@ -709,7 +709,7 @@ def f7_supplier_trend(spark, sf):
 
 @query
 def f8_rolling_origin_backtest(spark, sf):
-    return rounded(T.rolling_origin(settle(_history(spark, sf))).withColumn("h", F.col("h").cast("long")), forecast=0)
+    return rounded(T.rolling_origin(settle(_history(spark, sf))).withColumn("h", F.col("h").cast("long")), forecast=1)
 
 
 @query

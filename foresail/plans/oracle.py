@@ -6,9 +6,39 @@ median) deliberately differ from the Spark side."""
 
 from __future__ import annotations
 
-from foresail.operators.completeness import SECTIONS
-from foresail.schema import METHOD_WEIGHTS, SCENARIO_LEVERS, SEED42_NORMALS, STAGE_COLOR
-from foresail.operators.scenarios import lever_range_scenarios
+# --- fixed values, stated again here so that a wrong one on the Spark side shows ---------------
+METHOD_WEIGHTS = {"seasonal": 0.4, "scored": 0.3, "rules": 0.3}
+# name, min %, max %, default %
+SCENARIO_LEVERS = (
+    ("Growth Rate", -20, 50, 0),
+    ("Market Growth", -10, 30, 0),
+    ("Marketing Spend", -5, 25, 0),
+    ("Seasonality", -15, 15, 0),
+    ("Customer Retention", -10, 20, 0),
+)
+SEED42_NORMALS = (
+    0.4967141530112327, -0.13826430117118466, 0.6476885381006925, 1.5230298564080254,
+    -0.23415337472333597, -0.23413695694918055, 1.5792128155073915, 0.7674347291529088,
+    -0.4694743859349521, 0.5425600435859647, -0.46341769281246226, -0.46572975357025687,
+)
+STAGE_COLOR = {"inquiry": "#0ea5e9", "quote_sent": "#3b82f6", "booked": "#8b5cf6", "final_payment": "#10b981", "completed": "#059669"}
+# section, item name, plural, minimum items, (field, minimum length, ending)
+SECTIONS = (
+    ("positive_factors", "Positive factor", "positive factors", 3,
+     (("factor", 10, " description"), ("impact", 10, " description"), ("evidence", 10, " description"))),
+    ("negative_factors", "Negative factor", "negative factors", 2,
+     (("factor", 10, " description"), ("impact", 10, " description"), ("evidence", 10, " description"))),
+    ("immediate_actions", "Immediate action", "immediate actions", 3,
+     (("action", 20, " description (too short or empty)"), ("rationale", 20, ""), ("expected_impact", 10, ""))),
+    ("strategic_initiatives", "Strategic initiative", "strategic initiatives", 2,
+     (("initiative", 20, " description (too short or empty)"), ("rationale", 20, ""), ("expected_impact", 10, ""))),
+    ("risk_mitigation", "Risk mitigation", "risk mitigations", 2,
+     (("risk", 20, " description (too short or empty)"), ("mitigation", 20, " description (too short or empty)"))),
+    ("optimization_opportunities", "Optimization opportunity", "optimization opportunities", 2,
+     (("opportunity", 20, " description (too short or empty)"), ("description", 20, ""))),
+    ("key_insights", "Key insight", "key insights", 3, ()),
+)
+# ------------------------------------------------------------------------------------------------
 
 AS_OF = "DATE '2001-08-01'"
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -421,7 +451,7 @@ _cte("new_periods", "periods known_periods", "SELECT DISTINCT period FROM period
 def _report_sql() -> str:
     """Sentences dealt to sections; one row per failing field or short section."""
     checks = []
-    for i, (_, section, name, plural, least, fields) in enumerate(SECTIONS):
+    for i, (section, name, plural, least, fields) in enumerate(SECTIONS):
         checks.append(f"""SELECT report_id, '{section}' AS section, '-' AS field, 1 AS warnings,
           'Insufficient {plural}: ' || count(*) FILTER (sec={i}) || ' (minimum {least} required)' AS first_message
           FROM sent GROUP BY report_id HAVING count(*) FILTER (sec={i}) < {least}""")
@@ -436,9 +466,10 @@ def _report_sql() -> str:
 
 def _scenario_values() -> str:
     rows = []
-    for label, setting in lever_range_scenarios().items():
-        factor = " * ".join(f"(1 + {setting.get(name, default)}/100.0::DOUBLE)" for name, _, _, default, _ in SCENARIO_LEVERS)
-        rows.append(f"('{label}', {factor})")
+    for moved, low, high, usual in SCENARIO_LEVERS:
+        for what, value in (("min", low), ("default", usual), ("max", high)):
+            factor = " * ".join(f"(1 + {value if name == moved else default}/100.0::DOUBLE)" for name, _, _, default in SCENARIO_LEVERS)
+            rows.append(f"('{moved}:{what}', {factor})")
     return "(VALUES " + ", ".join(rows) + ") sc(scenario, factor)"
 
 
@@ -589,7 +620,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT is_test, count(*) FILTER (converted=1 AND score>0.5) tp, count(*) FILTER (converted=0 AND score>0.5) fp,
               count(*) FILTER (converted=1 AND score<=0.5) fn, count(*) FILTER (converted=0 AND score<=0.5) tn,
               CAST(sum(mid) FILTER (converted=1) AS DOUBLE) rs, count(*) FILTER (converted=1)::DOUBLE p, count(*) FILTER (converted=0)::DOUBLE q FROM ranked GROUP BY 1)"""),
-        "d33_backtest_metrics": _sql("backtest", """SELECT series_id, round(avg(mape), 6) AS mape, round(avg(mae), 2) AS mae, round(avg(sqrt(mse)), 2) AS rmse, round(avg(mse), -6) AS mse
+        "d33_backtest_metrics": _sql("backtest", """SELECT series_id, round(avg(mape), 6) AS mape, round(avg(mae), 2) AS mae, round(avg(sqrt(mse)), 2) AS rmse, round(avg(mse), -3) AS mse
             FROM (SELECT series_id, h, avg(CASE WHEN actual>0 THEN abs(forecast-actual)/actual END) mape, avg(abs(forecast-actual)) mae, avg(power(forecast-actual, 2)) mse
             FROM backtest GROUP BY 1, 2) GROUP BY 1"""),
         "e1_trailing_nonzero_mean": _sql("tail_mean", f"SELECT series_id, {_r('mean_trips, mean_revenue')} FROM tail_mean"),
@@ -638,7 +669,7 @@ def oracle_sql() -> dict[str, str]:
         "f7_supplier_changes": _sql("tsc_growth tsc_line", "SELECT series_id, n AS months, CAST(kink AS INT) AS kink, round(bend, 2) AS bend FROM tsc_growth JOIN tsc_line USING (series_id)"),
         "f7_seasonal_trend_linear": _sql("thl_fc", f"SELECT {bands} FROM thl_fc"),
         "f7_supplier_trend": _sql("ts_fc", f"SELECT {bands} FROM ts_fc"),
-        "f8_rolling_origin_backtest": _sql("backtest", "SELECT series_id, cutoff, h, month, round(forecast, 0) AS forecast, round(actual, 4) AS actual FROM backtest"),
+        "f8_rolling_origin_backtest": _sql("backtest", "SELECT series_id, cutoff, h, month, round(forecast, 1) AS forecast, round(actual, 4) AS actual FROM backtest"),
         "f9_combine_ensemble": _sql("ensx", f"SELECT {bands}, 'ensemble' AS method FROM ensx"),
         "f10_forecast_12_months": _sql("fc", f"SELECT {bands}, 'ensemble' AS method FROM fc"),
         "f10_forecast_with_scores": _sql("fin3_fc", f"SELECT {bands}, 'ensemble' AS method FROM fin3_fc"),
