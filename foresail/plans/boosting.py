@@ -46,33 +46,30 @@ def _full(tree: Tree, depth: int) -> tuple[list[int], list[float], list[float]]:
     return feature, cut, value
 
 
-def _numbers(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _array(values: Sequence[float]) -> str:
+    """SQL text of an array; one text is one call to the session, whatever the number of trees."""
+    return "array(" + ", ".join(str(v) if isinstance(v, int) else f"double('{v!r}')" for v in values) + ")"
 
 
 def margin_of(trees: Sequence[Tree], features: Sequence[str], depth: int) -> Column:
     """Sum of the trees' values for a row."""
     if not trees:
         return F.lit(0.0)
-    x = F.array(*[F.col(c).cast("double") for c in features])
     full = [_full(t, depth) for t in trees]
-    forest = F.array(*[F.struct(F.array(*[F.lit(i) for i in f]).alias("f"), _numbers(c).alias("c"), _numbers(v).alias("v")) for f, c, v in full])
+    forest = "array(" + ", ".join(f"struct({_array(f)} AS f, {_array(c)} AS c, {_array(v)} AS v)" for f, c, v in full) + ")"
+    x = "array(" + ", ".join(f"double(`{c}`)" for c in features) + ")"
+    down = f"aggregate(sequence(1, {depth}), 1, (node, level) -> 2 * node + if(x[tree.f[node]] <= tree.c[node], 0, 1))"
+    return F.expr(f"transform(array({x}), x -> aggregate({forest}, double(0), (total, tree) -> total + tree.v[{down} - {1 << depth}]))[0]")
 
-    def value(tree: Column, row: Column) -> Column:
-        down = lambda node, _: node * 2 + F.when(F.get(row, F.get(tree["f"], node)) <= F.get(tree["c"], node), 0).otherwise(1)
-        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), down)
-        return F.get(tree["v"], leaf - (1 << depth))
 
-    add = lambda row: F.aggregate(forest, F.lit(0.0), lambda total, tree: total + value(tree, row))
-    return F.get(F.transform(F.array(x), add), 0)
-
-
-def node_of(tree: Tree, features: Sequence[str], node: int = 1) -> Column:
+def node_of(tree: Tree, features: Sequence[str]) -> Column:
     """The deepest node of a tree that a row reaches."""
-    if node not in tree.splits:
-        return F.lit(node)
-    f, cut = tree.splits[node]
-    return F.when(F.col(features[f]) <= cut, node_of(tree, features, 2 * node)).otherwise(node_of(tree, features, 2 * node + 1))
+    def below(node: int) -> str:
+        if node not in tree.splits:
+            return str(node)
+        f, cut = tree.splits[node]
+        return f"if(double(`{features[f]}`) <= double('{cut!r}'), {below(2 * node)}, {below(2 * node + 1)})"
+    return F.expr(below(1))
 
 
 def best_split(cells: dict[int, dict[float, tuple[float, float]]]) -> tuple[int, float] | None:
