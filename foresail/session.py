@@ -58,13 +58,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle a lookup table and mark it for broadcast only if it has at most ``rows`` rows.
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Settle a lookup table and mark it for broadcast only if it has at most ``rows`` rows and ``size`` bytes of text.
 
     Larger ones come back unmarked and are joined by shuffle, where adaptive execution splits
     dominant keys."""
     settled = settle(df)
-    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+    text = F.octet_length(F.to_json(F.struct("*")))
+    seen = settled.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("size")).first()
+    return F.broadcast(settled) if seen.n <= rows and seen.size <= size else settled

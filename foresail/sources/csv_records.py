@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foresail.session import bounded, settle
+from foresail.session import BROADCAST_ROWS, bounded, settle
 
 PLACE = ("file", "block", "at")
 
@@ -110,7 +110,7 @@ def _position() -> Column:
 
 def _headers(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(file, _head, header): the text at every file's first position."""
-    keyed = rows.withColumn("_here", _position()).join(bounded(firsts), "file")
+    keyed = rows.withColumn("_here", _position()).join(firsts, "file")
     return settle(keyed.filter(F.col("_here") == F.col("_head")).select("file", "_head", F.col("value").alias("header")))
 
 
@@ -124,13 +124,15 @@ def named_cells(lines: DataFrame, wanted: Sequence[str], required: Sequence[str]
     filled = F.when(~F.col("value").rlike(r"^[\s,]*$"), _position())
     opens = F.max(F.when(F.contains("value", F.lit('"')), _line_map(F.col("value"))[0]).otherwise(0)).alias("opens")
     files = settle(lines.groupBy("file").agg(F.min(filled).alias("_head"), opens))
+    known = files.agg(F.count("*").alias("n"), F.max("opens").alias("opens")).first()
+    per_file = F.broadcast if known.n <= BROADCAST_ROWS else (lambda table: table)  # one row a file, a few numbers each
     rows = lines
-    heads = _headers(lines, files.filter("_head is not null").select("file", "_head"))
-    if not files.filter("opens = 1").isEmpty():
-        marked = lines.join(bounded(files.filter("opens = 1").select("file", "opens")), "file", "left")
+    heads = _headers(lines, per_file(files.filter("_head is not null").select("file", "_head")))
+    if known.opens:
+        marked = lines.join(per_file(files.filter("opens = 1").select("file", "opens")), "file", "left")
         joined = records(marked.filter("opens = 1").drop("opens"))
         firsts = joined.groupBy("file").agg(F.min(filled).alias("_head")).filter("_head is not null")
-        heads = heads.join(bounded(files.filter("opens = 1").select("file")), "file", "left_anti").unionByName(_headers(joined, firsts))
+        heads = heads.join(per_file(files.filter("opens = 1").select("file")), "file", "left_anti").unionByName(_headers(joined, per_file(firsts)))
         rows = marked.filter("opens is null").drop("opens").unionByName(joined)
     commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
     width = heads.agg(F.max(commas)).first()[0]
@@ -143,5 +145,5 @@ def named_cells(lines: DataFrame, wanted: Sequence[str], required: Sequence[str]
     if short:
         raise ValueError(f"missing required columns: {[c for c in required if c not in short.names]} in {short.file}")
     places = names.select("file", "_head", *[F.array_position("names", c).cast("int").alias(f"_at{i}") for i, c in enumerate(wanted)])
-    parsed = rows.join(bounded(places), "file").filter(_position() != F.col("_head")).withColumn("_cells", _cells(F.col("value"), width))
+    parsed = rows.join(per_file(places), "file").filter(_position() != F.col("_head")).withColumn("_cells", _cells(F.col("value"), width))
     return parsed.select(*[F.when(F.col(f"_at{i}") > 0, F.get("_cells", F.col(f"_at{i}") - 1)).alias(c) for i, c in enumerate(wanted)], *keep)

@@ -177,5 +177,9 @@ def test_lookup_tables_are_broadcast_only_when_small(spark):
             joined = rows.join(bounded(table, rows=10), "id")
             text = joined._jdf.queryExecution().executedPlan().toString()
             assert ("BroadcastHashJoin" in text) is uses and joined.count() == table.count()
+        wide = spark.range(5).withColumn("note", F.repeat(F.lit("x"), 1000))
+        for size, uses in ((10_000, True), (4_000, False)):
+            joined = rows.join(bounded(wide, size=size), "id")
+            assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) is uses and joined.count() == 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
