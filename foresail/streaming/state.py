@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from foresail.session import settle
+
 
 def read_if_there(spark: SparkSession, *paths: str) -> DataFrame | None:
     """The Parquet table at ``paths``; None where nothing was written yet."""
@@ -68,6 +70,7 @@ class KeyedState:
     def merge(self, batch_rows: DataFrame, batch: int) -> None:
         """Take up a batch; its number orders batches and names its files."""
         _, buckets, versions = self._lists(before=batch)
+        batch_rows = settle(batch_rows)  # read from its files once, not once per step below
         rest = [c for c in batch_rows.columns if c != self.key]
         bucket = F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
         known = batch_rows.filter(F.col(self.key).isNotNull()).withColumn("bucket", bucket)
