@@ -24,7 +24,7 @@ from foresail.llm.common import map_arrow
 #: From this many bytes on a word has a tree of its own, in plain numbers: arrays only pay for many words at once.
 _WIDE = 1024
 #: Words encoded together, and distinct chunks remembered by a Python worker before it starts anew.
-_TOGETHER, _REMEMBERED = 8192, 200_000
+_TOGETHER, _REMEMBERED = 8192, 500_000
 
 #: Ids joined by spaces, vocabulary strings joined by spaces, number of ids.
 Coded = tuple[str, str, int]
