@@ -27,7 +27,9 @@ def coerce_dates(df: DataFrame, columns: Sequence[str] = DATE_COLUMNS) -> DataFr
     """Parse date text in any of DATE_FORMATS; blank or impossible dates become null. Absent columns are skipped."""
     def parsed(c: str):
         text = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-        return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("date")
+        # the usual spelling needs no formatter, and fits no other one
+        plain = text.rlike(r"^[1-9]\d{3}-\d\d-\d\d$")
+        return F.when(plain, text.try_cast("date")).otherwise(F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("date"))
     return df.withColumns({c: parsed(c) for c in columns if c in df.columns})
 
 
@@ -61,7 +63,9 @@ def leads_of_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     become null; records without any value are dropped."""
     cells = named_cells(data_lines(lines), LEAD_COLUMNS, REQUIRED_COLUMNS, keep)
     known = cells.select(*[F.when(~F.trim(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in LEAD_COLUMNS], *keep)
-    return typed_leads(known, keep).dropna("all", subset=LEAD_COLUMNS)
+    # exploded, so that the rows to drop are told from the values there are, not by parsing every cell again
+    typed = typed_leads(known, keep).select(F.explode(F.array(F.struct(*LEAD_COLUMNS))).alias("_lead"), *keep)
+    return typed.select("_lead.*", *keep).dropna("all", subset=LEAD_COLUMNS)
 
 
 def read_leads_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from foresail.operators.series import monthly_revenue
 from foresail.schema import LEAD_COLUMNS
+from foresail.sources import csv_records
 from foresail.sources.csv_leads import read_leads_csv
 from foresail.sources.csv_records import named_cells, placed_lines
 from foresail.streaming.state import KeyedState
@@ -58,6 +59,28 @@ def test_records_equal_the_csv_module(spark, tmp_path, block):
     assert sorted(clean((r.file.rsplit("/", 1)[1][:-4], r.id, r.one, r.two, r.three)) for r in got) == sorted(map(clean, expect))
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_a_block_is_put_in_order_chunk_by_chunk(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(csv_records, "CHUNK_BITS", bits)
+    rows = [["id", "one"], *([f"r{k}", ("a\n" * (k % 7)) + 'b "c", d'[: k % 9]] for k in range(40))]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    (tmp_path / "a.csv").write_text(text.getvalue())
+    lines = placed_lines(spark.read.text(str(tmp_path)))
+    assert csv_records.chunk_maps(lines).count() == (text.getvalue().count("\n") + (1 << bits) - 1) >> bits
+    got = named_cells(lines, ["id", "one"], ["id"])
+    assert sorted((r.id, r.one or "") for r in got.collect()) == sorted((k, v) for k, v in rows[1:])
+
+
+def test_a_record_is_cut_once(spark, tmp_path):
+    """A filter on the leads read does not move the parser, or the cells' types, into a condition of its own."""
+    _file(tmp_path / "a.csv", [_lead("A", destination="New\nYork"), _lead("B")])
+    read = read_leads_csv(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("from_csv") for line in plan.splitlines() if "header#" not in line) == 1
+    assert not any("gettimestamp" in line or "from_csv" in line for line in plan.splitlines() if "Filter" in line or "Join" in line)
+
+
 HEADER = ",".join(LEAD_COLUMNS)
 
 
