@@ -41,6 +41,8 @@ def _full(tree: Tree, depth: int) -> tuple[list[int], list[float], list[float]]:
         feature.append(f)
         cut.append(c)
     for node, v in tree.values.items():
+        if node >= 2 << depth:
+            continue
         at = node << (depth - node.bit_length() + 1)
         value[at - (1 << depth)] = v
     return feature, cut, value
@@ -62,14 +64,14 @@ def margin_of(trees: Sequence[Tree], features: Sequence[str], depth: int) -> Col
     return F.expr(f"transform(array({x}), x -> aggregate({forest}, double(0), (total, tree) -> total + tree.v[{down} - {1 << depth}]))[0]")
 
 
-def node_of(tree: Tree, features: Sequence[str]) -> Column:
-    """The deepest node of a tree that a row reaches."""
-    def below(node: int) -> str:
-        if node not in tree.splits:
-            return str(node)
-        f, cut = tree.splits[node]
-        return f"if(double(`{features[f]}`) <= double('{cut!r}'), {below(2 * node)}, {below(2 * node + 1)})"
-    return F.expr(below(1))
+def node_of(tree: Tree, features: Sequence[str], level: int) -> Column:
+    """The node at ``level`` (the root's is 0) that a row reaches; below a leaf, the leftmost one.
+
+    The tree is data, not code: the passes of all rounds and levels run the same generated code, compiled once."""
+    feature, cut, _ = _full(tree, level)
+    x = "array(" + ", ".join(f"double(`{c}`)" for c in features) + ")"
+    return F.expr(f"transform(array(struct({x} AS x, {_array(feature)} AS f, {_array(cut)} AS c)), r -> aggregate(sequence(1, {level + 1}), 1, "
+                  f"(node, step) -> if(step > {level}, node, 2 * node + if(r.x[r.f[node]] <= r.c[node], 0, 1))))[0]")
 
 
 def best_split(cells: dict[int, dict[float, tuple[float, float]]]) -> tuple[int, float] | None:
@@ -99,17 +101,17 @@ class Booster:
         self.data = data.select(*features, F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"), F.col(held).alias("_held"), F.lit(0.0).alias("_margin"))
         self.kept = 0
 
-    def _cells(self, tree: Tree, loss: bool) -> tuple[Sums, dict[int, tuple[float, float]], float | None]:
-        """Sums by (node, feature) and value, by node, and the held-out loss of the trees so far, in one pass."""
+    def _cells(self, tree: Tree, level: int) -> tuple[Sums, dict[int, tuple[float, float]], float | None]:
+        """Sums by (node, feature) and value, by node, and at the root the held-out loss of the trees so far, in one pass."""
         margin = F.col("_margin") + margin_of(self.trees[self.kept:], self.features, self.depth)
-        rows = self.data if loss else self.data.filter(~F.col("_held"))
+        rows = self.data if level == 0 else self.data.filter(~F.col("_held"))
         rows = rows.withColumn("_p", 1 / (1 + F.exp(-margin)))
         exact = lambda c: c.cast("decimal(30,12)")
         sure = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.when(F.col("_y") == 1, F.col("_p")).otherwise(1 - F.col("_p"))))
         cell = lambda f, c: F.struct(F.lit(f).alias("f"), c.cast("double").alias("v"))
         own = F.array(*[cell(f, F.col(c)) for f, c in enumerate(self.features)])
         rows = rows.select(
-            F.when(F.col("_held"), 0).otherwise(node_of(tree, self.features)).alias("node"),
+            F.when(F.col("_held"), 0).otherwise(node_of(tree, self.features, level)).alias("node"),
             F.explode(F.when(F.col("_held"), F.array(cell(-1, F.lit(0.0)))).otherwise(own)).alias("at"),
             exact(F.when(F.col("_held"), -F.log(sure)).otherwise(F.col("_p") - F.col("_y")) * F.col("_w")).alias("g"),
             exact(F.when(F.col("_held"), 1.0).otherwise(F.col("_p") * (1 - F.col("_p"))) * F.col("_w")).alias("h"))
@@ -126,7 +128,7 @@ class Booster:
         tree, loss = Tree(), None
         open_nodes = [1]
         for level in range(self.depth):
-            sums, nodes, measured = self._cells(tree, loss=level == 0)
+            sums, nodes, measured = self._cells(tree, level)
             loss = measured if level == 0 else loss
             following = []
             for node in open_nodes:
@@ -155,7 +157,7 @@ class Booster:
 
     def loss(self) -> float | None:
         """Held-out loss of all trees."""
-        return self._cells(Tree(), loss=True)[2]
+        return self._cells(Tree(), 0)[2]
 
 
 def boost(data: DataFrame, features: Sequence[str], label: str, weight: str, held: str, rounds: int, depth: int, rate: float, patience: int) -> tuple[list[Tree], list[float]]:

@@ -98,3 +98,19 @@ def test_rows_of_one_kind_give_leaves_alone(spark):
     trees, _ = boosting.boost(data, ["a"], "y", "w", "held", 1, 4, 0.1, 1)
     assert trees[0].splits == {} and trees[0].values[1] == pytest.approx(0.1 * 1.0 / 3.0)
     assert data.select(boosting.margin_of(trees, ["a"], 4)).first()[0] == trees[0].values[1]
+
+
+def test_other_trees_run_the_same_generated_code(spark):
+    data = _frame(spark, *_rows(6))
+    one = boosting.Tree({1: (0, 0.5), 2: (2, 6.5)}, {3: 0.5, 4: 0.1, 5: -0.1})
+    two = boosting.Tree({1: (1, 1.5), 3: (2, 3.5)}, {2: 0.2, 6: 0.3, 7: -0.2})
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+
+    def code(tree):
+        parts = debug.codegenStringSeq(data.select(boosting.node_of(tree, ["a", "b", "c"], 2).alias("node"))._jdf.queryExecution().executedPlan())
+        assert parts.size()
+        return [parts.apply(k)._2() for k in range(parts.size())]
+
+    assert code(one) == code(two)
+    got = data.select("a", "c", boosting.node_of(one, ["a", "b", "c"], 2).alias("node")).collect()
+    assert all(r.node == (6 if r.a > 0.5 else 4 if r.c <= 6.5 else 5) for r in got)  # 3 is a leaf: 6 stands for it
