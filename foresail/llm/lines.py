@@ -1,15 +1,16 @@
 """Near-duplicate lines by an exact set-similarity join, in built-in Spark functions only.
 
-A line is the set of its words. Words are ordered by rarity (rarest first); two sets with Jaccard
-similarity of at least ``share`` agree in a word of their prefixes, so only prefixes are joined, under
-length and positional filters, and survivors are verified on the whole sets. A line is removed if an
-equal set or a set that similar occurs earlier in the table (by document id, then line number),
-whether or not that earlier line stays itself.
-
-One earlier witness decides about a line. So by a few words, drawn by hash from its rarer half, each set
-first meets only the earliest set that drew the same word: that settles most members of a large group
-of variants with one verified pair each. Sets still undecided meet all earlier sets of all their
-prefix words."""
+A line is the set of its words, ordered by rarity (rarest first). Words that only one of two sets has
+part neighbours of the other, each at most one pair of words that both sets have next to each other;
+so two sets with Jaccard similarity of at least ``share`` have some word and its successor in common,
+both within their prefixes. Those pairs of neighbours are joined, under length and positional filters,
+and survivors are verified on the whole sets. A line is removed if an equal set or a set that similar
+occurs earlier in the table (by document id, then line number), whether or not that earlier line stays
+itself.
+
+One earlier witness decides about a line. So by a few neighbours, drawn by hash from its prefix, each
+set first meets only the earliest set that drew the same: that settles most members of a large group
+of variants with one verified pair each. Sets still undecided meet all sets of all their neighbours."""
 
 from __future__ import annotations
 
@@ -21,10 +22,6 @@ from foresail.llm.common import WORD_BREAK, settle_table
 
 #: Words are counted in this many hash buckets: a fixed size, whatever the vocabulary.
 BUCKETS = 1 << 16
-#: Words that a set draws to look for an earlier like set before the full join.
-LEADS = 2
-#: Words that 64 bits of parity can tell apart; larger sets carry a parity twice, four times, ... as wide.
-PARITY_WORDS, WIDEST = 72, 64
 #: Documents' ids and numbers of candidate lines are broadcast up to so many 4-byte numbers; beyond, the join shuffles.
 FETCH_NUMBERS = 4_000_000
 
@@ -33,12 +30,8 @@ Share = tuple[int, int]
 
 def _spaced(text: Column) -> Column:
     """The text with a space for every other break but the line feed, so that words are cut at one character."""
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
-
-
-def _all_words(line: Column) -> Column:
-    """The words of a line of a ``_spaced`` text."""
-    return F.array_remove(F.split(line, " "), "")
+    breaks = [text.contains(c) for c in "\t\v\f\r"]
+    return F.when(breaks[0] | breaks[1] | breaks[2] | breaks[3], F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
 
 def _bucket(hashed: Column) -> Column:
@@ -55,55 +48,50 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Callable[[Column], Column
     level = F.least(F.lit(120), F.floor(4 * F.log2(F.count("*"))))
     found = {r.b: r.level for r in counted.agg(level.cast("int").alias("level")).collect()}
     levels = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<tinyint>")
-    return lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # greatest() is never null, and arrays without nulls sort as plain numbers
+    return lambda h: F.shiftleft(F.greatest(F.get(levels, _bucket(h)).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
 
 def _tokens(line: Column, key: Callable[[Column], Column]) -> Column:
-    """A line's distinct word keys, rarest first."""
-    return F.array_distinct(F.sort_array(F.transform(F.transform(_all_words(line), lambda w: F.xxhash64(w)), key)))
+    """Distinct word keys of a line of a ``_spaced`` text, rarest first."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    # leaves out what the empty strings between spaces hash to, and repeats
+    return F.sort_array(F.transform(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))), key))
 
 
-def _parity(tokens: Column) -> Column:
-    flip = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(x)))
+def _neighbours(n: Column, share: Share) -> Column:
+    """How many pairs of neighbours of a set of ``n`` words any similar set shares one of.
 
+    If x words are only in this set and y only in the other one of m words, one of the first 2x + y + 1
+    is common to both. With z in common, that is 2n + m - 3z + 1, and z is a / (a + b) of n + m at least:
+    most for the smallest m, n * a / b, or for a share below one half for the largest."""
+    a, b = share
+    return F.floor(n.cast("long") * F.lit((b - a) * max(2 * a, b)) / F.lit(a * b)).cast("int") + 1
 
-def _wide_parity(tokens: Column) -> Column:
-    """Parities of the words' classes by their next bits, for sets too large for 64 bits; else null."""
-    width = F.least(F.lit(WIDEST), F.pow(F.lit(2), F.ceil(F.log2(F.size(tokens) / F.lit(PARITY_WORDS)))).cast("int"))
-    of = lambda w: F.transform(F.sequence(F.lit(0), w - 1), lambda j: _parity(F.filter(tokens, lambda x: F.shiftrightunsigned(x, 6) % w == j)))
-    return F.when(F.size(tokens) > PARITY_WORDS, F.get(F.transform(F.array(width), of), 0))
 
+def _enough(common: Column, n: Column, m: Column, share: Share) -> Column:
+    """Whether two sets with so many pairs of neighbours in common within their prefixes can be similar.
 
-def _wide_difference(a: Column, b: Column) -> Column:
-    """Bits in which two wide parities differ, the wider one folded to the other's width."""
-    width = F.least(F.size(a), F.size(b))
-    fold = lambda p, j: F.when(F.size(p) == width, F.get(p, j)).otherwise(F.get(p, j).bitwiseXOR(F.get(p, j + width)))
-    return F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0), lambda acc, j: acc + F.bit_count(fold(a, j).bitwiseXOR(fold(b, j))))
+    The rth pair of neighbours that both sets have is among the first 2x + y + r of one and x + 2y + r of
+    the other; with z words in common there are 3z - n - m - 1 at least. As above, 3z is bounded."""
+    a, b = share
+    least = 3 * a * (n + m)
+    short = [(_neighbours(p, share).cast("long") - 2 * p - q) * (a + b) + least for p, q in ((n, m), (m, n))]
+    return common * (a + b) >= F.least(*short, least - (n + m + 1) * (a + b))
 
 
 def document_lines(docs: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, line, sid, n, parity, wide, leads, prefix): a row per line with a word.
+    """(doc_id, text_hash, line, sid, n, prefix): a row per line, one with a null line for a null text.
 
-    ``line`` is its number, ``sid`` its set's id and ``n`` that set's size. Parity has a bit for every 64th
-    part of the words, flipped by each word in it: two sets differ in at least as many words as their
-    parities in bits; large sets have a wide parity too. The prefix keeps a 32-bit hash of each word's key;
-    words that agree in it only add candidates, which verification drops. Rows that repeat id and text
-    repeat their lines."""
-    a, b = share
+    ``line`` is its number, ``sid`` its set's id (null: no word) and ``n`` that set's size. The prefix
+    keeps 31 bits of each word's key; words that agree in them only add candidates, which verification
+    drops. Rows that repeat id and text repeat their lines."""
     text = F.col(text_col).cast("string")
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(_spaced(text), "\n")).alias("line", "words"))
-    cut = each.where(F.col("words").rlike("[^ ]")).select("doc_id", "text_hash", "line", _tokens(F.col("words"), key).alias("t"))
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode_outer(F.split(_spaced(text), "\n")).alias("line", "words"))
+    cut = each.select("doc_id", "text_hash", "line", _tokens(F.col("words"), key).alias("t"))
     t = F.col("t")
-
-    def draw(half: Column, k: int) -> Column:
-        return F.array_min(F.transform(half, lambda x: F.hash(F.lit(k), x)))
-
-    # from the rarer half, cut once for all draws
-    rarer = F.array(F.slice(t, 1, F.size(t) - F.floor(F.size(t) / 2).cast("int")))
-    drawn = F.get(F.transform(rarer, lambda half: F.array(*(draw(half, k) for k in range(LEADS)))), 0)
-    prefix = F.transform(F.slice(t, 1, F.size(t) - F.ceil(F.size(t) * F.lit(a) / F.lit(b)).cast("int") + 1), lambda x: F.hash(x))
-    return cut.select("doc_id", "text_hash", "line", F.xxhash64(t).alias("sid"), F.size(t).alias("n"), _parity(t).alias("parity"), _wide_parity(t).alias("wide"), drawn.alias("leads"), prefix.alias("prefix"))
+    prefix = F.transform(F.slice(t, 1, _neighbours(F.size(t), share) + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+    return cut.select("doc_id", "text_hash", "line", F.when(F.size(t) > 0, F.xxhash64(t)).alias("sid"), F.size(t).alias("n"), prefix.alias("prefix"))
 
 
 def _first(doc: str = "doc_id") -> Column:
@@ -131,48 +119,73 @@ def _verified(pairs: DataFrame, tokens: DataFrame, share: Share) -> DataFrame:
     return joined.where(b * common >= a * (F.size("tokens") + F.size("t") - common)).select("sid").distinct()
 
 
+def _pair_key(token: Column, successor: Column) -> Column:
+    """One number for a word and its successor; no successor: for the word alone."""
+    return F.shiftleft(token.cast("long"), 32).bitwiseOR(F.coalesce(successor.cast("long"), F.lit((1 << 32) - 1)))
+
+
+def _leads(prefix: Column) -> Column:
+    """The neighbours that a set draws: its words of smallest and of largest hash with their successors."""
+    return F.transform(F.array(F.array_min(prefix), F.array_max(prefix)), lambda x: _pair_key(x, F.get(prefix, F.array_position(prefix, x).cast("int"))))
+
+
+def neighbour_rows(sets: DataFrame, share: Share) -> DataFrame:
+    """(pair, no, about): a row per pair of neighbours in the prefix of ``sets`` (no, n, prefix, found); any two similar sets have a pair in common."""
+    a, b = share
+    as_long = lambda c: F.col(c).cast("long")
+    # Size, place and flag share one number: fewer columns make smaller rows.
+    each = sets.select("no", "n", F.shiftleft(as_long("n"), 32).bitwiseOR(F.coalesce("found", F.lit(0).cast("long"))).alias("about"), "prefix", F.posexplode("prefix").alias("pos", "token"))
+    about = F.col("about").bitwiseOR(F.shiftleft(as_long("pos"), 1)).alias("about")
+    successor = F.get("prefix", F.col("pos") + 1)
+    rows = each.where(successor.isNotNull()).select(_pair_key(F.col("token"), successor).alias("pair"), "no", about)
+    # Sets of so few words, or for a share of one half or less any sets, need not have neighbours in common, but a word.
+    small = [n for n in range(1, 2 * b + 1) if n * (b - a) >= a and n * (2 * a - b) < 2 * b]
+    if small:
+        alone = each.where(F.lit(2 * a <= b) | (as_long("n") * (2 * a - b) < 2 * b))
+        alone = alone.where(F.col("pos") <= F.col("n") - F.ceil(as_long("n") * F.lit(a) / F.lit(b)))
+        rows = rows.union(alone.select(_pair_key(F.col("token"), F.lit(None)), "no", about))
+    return rows
+
+
 def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], Column], share: Share, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(sets, decided): every set's first place, and the ids of sets that resemble an earlier other set."""
     a, b = share
-    every_set = settle_table(lines.withColumn("doc", _first()).groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "parity", "wide", "leads", "prefix")).alias("m")).select("sid", "m.*"), "line-sets")
-    # Line and size share one number: fewer columns make smaller rows.
-    high = lambda c: F.shiftright(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    n, m = low("size"), low("o.size")
-    # Similar sets have a / (a + b) of both sizes in common and differ in (b - a) / (a + b) of them at most.
-    near = lambda bits: (a + b) * bits <= (b - a) * (n + m)
-    like = (
-        (F.least(n, m) * b >= F.greatest(n, m) * a)
-        & ((a + b) * F.least(n - F.col("pos"), m - F.col("o.pos")) >= a * (n + m))
-        & near(F.bit_count(F.col("parity").bitwiseXOR(F.col("o.parity"))))
-        & (F.col("wide").isNull() | F.col("o.wide").isNull() | near(_wide_difference(F.col("wide"), F.col("o.wide"))))
-    )
-    # the flag decides nothing here: both sides of a join are to read the same columns, and so the same exchange
-    earlier = F.struct("o.doc", "o.size", "o.sid", "o.done") < F.struct("doc", "size", "sid", "done")
+    # once written, the short number ``no`` stands for the set: it compresses, unlike a hash
+    every_set = settle_table(lines.where("sid IS NOT NULL").withColumn("doc", _first()).groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("m")).select(F.monotonically_increasing_id().alias("no"), "sid", "m.*"), "line-sets")
     # Below this size only equal sets are similar enough.
-    joinable = F.col("n") * (b - a) >= a
-    gram = ("doc", "size", "sid", "pos", "parity", "wide", "done")
+    joinable = every_set.where(F.col("n").cast("long") * (b - a) >= a)
+    as_long = lambda c: F.col(c).cast("long")
 
-    def grams(words: str, sets: DataFrame) -> DataFrame:
-        """A row per set and word; a drawn word has no place in the order and takes the first."""
-        rows = sets.where(joinable).select("sid", "doc", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("n")).alias("size"), "parity", "wide", "done", F.posexplode(words).alias("pos", "token"))
-        return (rows if words == "prefix" else rows.withColumn("pos", F.col("pos") * 0)).select("token", *gram).repartition("token")
+    def of_a_size(n: Column, m: Column) -> Column:
+        return F.least(n, m) * b >= F.greatest(n, m) * a
 
     def check(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("sid", "doc", "line").union(pairs.select("other", "odoc", "oline")).distinct()
         return _verified(pairs.select("sid", "other"), settle_table(_fetch(docs, nodes, key, id_col, text_col), "line-tokens"), share)
 
-    pair = ("sid", "doc", high("size").alias("line"), F.col("o.sid").alias("other"), F.col("o.doc").alias("odoc"), high("o.size").alias("oline"))
-    lead = grams("leads", every_set.withColumn("done", F.lit(False)))
-    earliest = lead.groupBy("token").agg(F.min(F.struct(*gram)).alias("o"))
-    found = lead.join(earliest, "token").where(like & earlier).select(*pair)
-    one = found.groupBy("sid", "doc", "line").agg(F.min(F.struct("odoc", "oline", "other")).alias("o")).select("sid", "doc", "line", "o.*")
+    lead = joinable.select(F.explode(_leads(F.col("prefix"))).alias("pair"), "doc", "line", as_long("n").alias("n"), "sid").repartition("pair")
+    earliest = lead.groupBy("pair").agg(F.min(F.struct("doc", "line", "n", "sid")).alias("o"))
+    found = lead.join(earliest, "pair").where(of_a_size(F.col("n"), F.col("o.n")) & (F.struct("o.doc", "o.line", "o.n", "o.sid") < F.struct("doc", "line", "n", "sid")))
+    one = found.groupBy("sid", "doc", "line").agg(F.min(F.struct(F.col("o.doc").alias("odoc"), F.col("o.line").alias("oline"), F.col("o.sid").alias("other"))).alias("o")).select("sid", "doc", "line", "o.*")
     decided = settle_table(check(settle_table(one, "line-pairs")), "line-decided")
 
-    every = grams("prefix", every_set.join(decided.withColumn("found", F.lit(True)), "sid", "left").withColumn("done", F.col("found").isNotNull()))
-    # A decided set looks for nothing; said together with the order, it is no filter of one side.
-    looks = F.when(F.col("done"), F.lit(False)).otherwise(earlier)
-    more = every.join(every.select("token", F.struct(*gram).alias("o")), "token").where(like & looks).select(*pair).distinct()
+    few = decided.count() * 2 <= FETCH_NUMBERS
+    flags = decided.select("sid", F.lit(1).cast("long").alias("found"))
+    flagged = joinable.select("sid", "no", "n", "prefix").join(F.broadcast(flags) if few else flags, "sid", "left")
+    every = neighbour_rows(flagged, share).repartition("pair")
+    size = lambda c: F.shiftright(c, 32)
+    place = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    n, m, i, j = size("about"), size("o.about"), place("about"), place("o.about")
+    # A decided set looks for nothing, and similar sets have a / (a + b) of both sizes in common.
+    undecided = F.col("about").bitwiseAND(F.col("o.about")).bitwiseAND(F.lit(1).cast("long")) == 0
+    like = undecided & of_a_size(n, m) & ((a + b) * (F.least(i, j) + F.least(n - i, m - j)) >= a * (n + m))
+    met = every.join(every.select("pair", F.struct("no", "about").alias("o")), "pair").where((F.col("no") < F.col("o.no")) & like)
+    met = met.select(F.col("no").alias("x"), F.col("o.no").alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
+    places = every_set.select("no", F.struct("doc", "line", "n", "sid").alias("at"))
+    met = met.join(places.toDF("x", "p"), "x").join(places.toDF("y", "q"), "y").where(_enough(F.col("common"), as_long("p.n"), as_long("q.n"), share))
+    met = met.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
+    more = met.select("p.sid", "p.doc", "p.line", F.col("q.sid").alias("other"), F.col("q.doc").alias("odoc"), F.col("q.line").alias("oline"))
+    more = more.join(decided, "sid", "left_anti")
     return every_set.select("sid", "doc", "line"), decided.union(check(settle_table(more, "line-pairs"))).distinct()
 
 
@@ -187,13 +200,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = rarity(docs, text_col)
     lines = settle_table(document_lines(docs, key, share, id_col, text_col), "lines")
     sets, decided = similar_earlier(docs, lines, key, share, id_col, text_col)
-    kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line")
-    each = lines.select("doc_id", "text_hash", "line", "sid", _first().alias("doc"))
-    gone = each.join(kept, ["sid", "doc", "line"], "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    text = F.col(text_col).cast("string")
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines")).distinct()
-    return every.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select(
-        "doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line", F.lit(True).alias("kept"))
+    each = lines.select("doc_id", "text_hash", "line", "sid", _first().alias("doc")).join(kept, ["sid", "doc", "line"], "left")
+    gone = F.col("kept").isNull() & F.col("sid").isNotNull()
+    return each.groupBy("doc_id", "text_hash").agg(
+        (F.coalesce(F.max("line"), F.lit(-1)) + 1).alias("n_lines"), F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: Share = (4, 5)) -> DataFrame:

@@ -84,6 +84,38 @@ def test_lines(spark, documents, odd_docs):
     assert lines.removed_lines(odd_docs.limit(0)).count() == 0
 
 
+def test_lines_meet_by_neighbours(spark):
+    """A word that many lines have brings no two of them together, at any share the result is exact."""
+    from pyspark.sql import functions as F
+    sets = [[f"shared{k % 3}", *(f"own{k}_{j}" for j in range(11))] for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(sets)], "doc_id long, text string")
+    found = lines.document_lines(docs, lambda h: h, (4, 5), "doc_id", "text").withColumns({"found": F.lit(None).cast("long"), "no": F.col("doc_id")})
+    rows = lines.neighbour_rows(found, (4, 5))
+    assert 0 < rows.count() <= 300 * 5 and rows.groupBy("pair").count().agg(F.max("count")).first()[0] == 1
+
+    rng = np.random.default_rng(3)
+    base = [[f"w{w}" for w in rng.choice(60, size, replace=False)] for size in (1, 2, 3, 4, 5, 6, 9, 12, 20, 30) for _ in range(4)]
+    texts = []
+    for k in range(60):
+        cut = []
+        for _ in range(8):
+            words = list(base[rng.integers(len(base))])
+            for _ in range(rng.integers(0, len(words) // 3 + 1)):
+                words[rng.integers(len(words))] = f"w{rng.integers(60)}" if rng.random() < 0.5 else f"new{rng.integers(500)}"
+            cut.append("  ".join(words))
+        texts.append((k, "\n".join(cut)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for a, b in ((4, 5), (1, 2), (2, 5)):
+        seen, expect = [], {}
+        for doc, text in texts:
+            expect[doc] = []
+            for k, words in enumerate(frozenset(line.split()) for line in text.split("\n")):
+                if any(b * len(words & s) >= a * len(words | s) for s in seen):
+                    expect[doc].append(k)
+                seen.append(words)
+        assert any(expect.values()) and {r.doc_id: r.removed for r in lines.removed_lines(docs, share=(a, b)).collect()} == expect
+
+
 def _brute_passages(rows, span=50):
     seen, out, waiting = set(), collections.Counter(), []
     for doc, text in sorted(rows, key=lambda r: FIRST(r[0])):
