@@ -116,6 +116,31 @@ def test_lines_meet_by_neighbours(spark):
         assert any(expect.values()) and {r.doc_id: r.removed for r in lines.removed_lines(docs, share=(a, b)).collect()} == expect
 
 
+def test_lines_of_a_crowd(spark, monkeypatch):
+    """A passage that many lines quote brings none of them together, variants of one text meet by their sketches; the result is exact."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    monkeypatch.setattr(lines, "CROWD", 20)
+    rng = np.random.default_rng(8)
+    filler = lambda n: [f"fill{w}" for w in rng.choice(120, n, replace=False)]
+    texts = [filler(14) for _ in range(560)] + [[*(f"quoted{j}" for j in range(10)), *filler(14)] for _ in range(60)]
+    for edits in rng.integers(0, 12, 80):
+        words = [f"text{j}" for j in range(40)]
+        for place in rng.choice(40, edits, replace=False):
+            words[place] = f"fill{rng.integers(120)}"
+        texts.append(words)
+    rows = [(int(k), " ".join(texts[i])) for k, i in enumerate(rng.permutation(len(texts)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.document_lines(docs, lines.rarity(docs, (4, 5)), (4, 5), "doc_id", "text").withColumns({"found": F.lit(None).cast("long"), "no": F.col("doc_id"), "at": F.col("doc_id")})
+    assert lines.neighbour_rows(found, (4, 5)).groupBy("pair").count().agg(F.max("count")).first()[0] < 20
+    crowd = {r.no: r for r in lines.crowd_rows(found).collect()}
+    words = {k: set(text.split()) for k, text in rows}
+    odd = lambda r, o: sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(r.sketch, o.sketch))
+    assert len(crowd) >= 40 and all(odd(crowd[x], crowd[y]) <= len(words[x] ^ words[y]) for x in crowd for y in crowd)
+    expect = {k[0]: v for k, v in _brute_lines(rows).items()}
+    assert 10 <= sum(map(bool, expect.values())) <= 80 and {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()} == expect
+
+
 def _brute_passages(rows, span=50):
     seen, out, waiting = set(), collections.Counter(), []
     for doc, text in sorted(rows, key=lambda r: FIRST(r[0])):
