@@ -21,9 +21,10 @@ of variants with one verified pair each. Sets still undecided meet all sets of a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foresail.llm.common import WORD_BREAK, settle_table
 
@@ -43,6 +44,18 @@ PARTS = 4
 Share = tuple[int, int]
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What each job shuffles inside is of no use after it and leaves the disks at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _spaced(text: Column) -> Column:
     """The text with a space for every other break but the line feed, so that words are cut at one character."""
     breaks = [text.contains(c) for c in "\t\v\f\r"]
@@ -283,7 +296,7 @@ def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], C
     # Two sets of a crowd share many neighbours: they meet at the smallest.
     smallest = F.array_min(F.array_intersect("pairs", "o.pairs")) == F.col("pair")
     close = meet(crowd, (F.col("o.at") < F.col("at")) & ~is_found("about") & of_a_sketch(F.col("sketch"), F.col("o.sketch"), n, m)).where(smallest)
-    met = met.union(close.select(F.least("no", "o.no"), F.greatest("no", "o.no"))).distinct()
+    met = settle_table(met.union(close.select(F.least("no", "o.no"), F.greatest("no", "o.no"))).distinct(), "line-met")
     places = every_set.select("no", F.struct("doc", "line", "n", "sid", "prefix").alias("at"))
     met = met.join(places.toDF("x", "p"), "x").join(places.toDF("y", "q"), "y").where(_can_be("p", "q", share))
     met = met.select(F.greatest("p", "q").alias("at"), F.struct(F.least("p", "q").alias("at")).alias("o"))
@@ -299,9 +312,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines, an empty one a single line; lines without a word stay. Lines of one id and number under
     different texts follow each other by their set's hash. Sets are told apart by 64-bit hashes of
     their words' keys; similar pairs are verified word by word. Other columns are not read."""
-    key = rarity(docs, share, text_col)
-    lines = settle_table(document_lines(docs, key, share, id_col, text_col), "lines")
-    sets, decided = similar_earlier(docs, lines, key, share, id_col, text_col)
+    with _shuffles_removed(docs.sparkSession):
+        key = rarity(docs, share, text_col)
+        lines = settle_table(document_lines(docs, key, share, id_col, text_col), "lines")
+        sets, decided = similar_earlier(docs, lines, key, share, id_col, text_col)
     kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line", F.lit(True).alias("kept"))
     each = lines.select("doc_id", "text_hash", "line", "sid", _first().alias("doc")).join(kept, ["sid", "doc", "line"], "left")
     gone = F.col("kept").isNull() & F.col("sid").isNotNull()
