@@ -64,9 +64,9 @@ def _spaced(text: Column) -> Column:
 
 def _keys(level: dict[int, int]) -> Callable[[Column], Column]:
     """A function from a key's lower 56 bits, of a word's hash, to the key: the level of its bucket, then those bits."""
-    levels = F.split(F.lit(",".join(str(level.get(b, 0) << 56) for b in range(BUCKETS))), ",").cast("array<bigint>")
-    # coalesce() with a number is never null, and arrays without nulls sort as plain numbers
-    return lambda low: F.coalesce(F.get(levels, low.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(low)
+    levels = F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<tinyint>")
+    # greatest() is never null, and arrays without nulls sort as plain numbers
+    return lambda low: F.shiftleft(F.greatest(F.get(levels, low.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(low)
 
 
 def _low(hashed: Column) -> Column:
