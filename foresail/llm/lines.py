@@ -38,6 +38,11 @@ FETCH_NUMBERS = 4_000_000
 SAMPLE, CROWD, ONE_IN, ROUNDS = 64, 3, 20_000, 5
 #: Levels of crowded words begin here, above those of all others.
 CROWDED = 60
+#: A neighbour leads to its earliest set if so many sets drew it. Fewer meet each other in the join on all neighbours at
+#: less cost than that of reading their lines again.
+LED = 8
+#: Joins hash a side whose every part, as shuffled, is at most so large.
+HASHED = "32m"
 #: 64-bit parts of a sketch.
 PARTS = 4
 
@@ -45,15 +50,18 @@ Share = tuple[int, int]
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What each job shuffles inside is of no use after it and leaves the disks at once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _join_settings(spark: SparkSession) -> Iterator[None]:
+    """What each job shuffles inside is of no use after it and leaves the disks at once; joins whose parts prove small
+    once shuffled hash one side instead of sorting both."""
+    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": HASHED}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _spaced(text: Column) -> Column:
@@ -65,8 +73,8 @@ def _spaced(text: Column) -> Column:
 def _keys(level: dict[int, int]) -> Callable[[Column], Column]:
     """A function from a key's lower 56 bits, of a word's hash, to the key: the level of its bucket, then those bits."""
     levels = F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<tinyint>")
-    # greatest() is never null, and arrays without nulls sort as plain numbers
-    return lambda low: F.shiftleft(F.greatest(F.get(levels, low.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(low)
+    # with a default it is never null, and arrays without nulls sort as plain numbers
+    return lambda low: F.shiftleft(F.coalesce(F.get(levels, low.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(low)
 
 
 def _low(hashed: Column) -> Column:
@@ -197,9 +205,10 @@ def _fetch(docs: DataFrame, nodes: DataFrame, key: Callable[[Column], Column], i
 def _verified(pairs: DataFrame, tokens: DataFrame, share: Share) -> DataFrame:
     """Set ids of ``pairs`` (sid, other) whose whole sets are similar enough."""
     a, b = share
-    joined = pairs.join(tokens, "sid").join(tokens.select(F.col("sid").alias("other"), F.col("tokens").alias("t")), "other")
-    common = F.size(F.array_intersect("tokens", "t"))
-    return joined.where(b * common >= a * (F.size("tokens") + F.size("t") - common)).select("sid").distinct()
+    # both sides are renamed, so that one shuffle serves them
+    joined = pairs.toDF("p", "q").join(tokens.toDF("p", "t"), "p").join(tokens.toDF("q", "u"), "q")
+    common = F.size(F.array_intersect("t", "u"))
+    return joined.where(b * common >= a * (F.size("t") + F.size("u") - common)).select(F.col("p").alias("sid")).distinct()
 
 
 def _pair_key(token: Column, successor: Column) -> Column:
@@ -210,10 +219,11 @@ def _pair_key(token: Column, successor: Column) -> Column:
 def _leads(prefix: Column, deep: Column) -> Column:
     """The neighbours that a set draws: its words of smallest and of largest hash with their successors, in a crowd some more."""
     drawn = lambda x: _pair_key(x, F.get(prefix, F.array_position(prefix, x).cast("int")))
-    two = F.array(F.array_min(prefix), F.array_max(prefix))
+    # outside of a function of an array's elements, so that Spark compiles it
+    two = F.array(drawn(F.array_min(prefix)), drawn(F.array_max(prefix)))
     mixed = lambda x, k: F.xxhash64(x, F.lit(k)).bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(x.cast("long"))
     more = [F.array_min(F.transform(prefix, lambda x, k=k: mixed(x, k))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(6)]
-    return F.transform(F.when(deep, F.array_distinct(F.concat(two, F.array(*more)))).otherwise(two), drawn)
+    return F.when(deep, F.array_distinct(F.concat(two, F.transform(F.array(*more), drawn)))).otherwise(two)
 
 
 def _about(n: str = "n") -> Column:
@@ -268,8 +278,9 @@ def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], C
         nodes = pairs.select("sid", "doc", "line").union(pairs.select("other", "odoc", "oline")).distinct()
         return _verified(pairs.select("sid", "other"), settle_table(_fetch(docs, nodes, key, id_col, text_col), "line-tokens"), share)
 
-    lead = joinable.select(F.explode(_leads(F.col("prefix"), F.col("sketch").isNotNull())).alias("pair"), at, "sketch").repartition("pair")
-    earliest = lead.groupBy("pair").agg(F.min(F.struct("at", "sketch")).alias("o"))
+    # drawn before they are exploded: Spark compiles the one and the other, but not both in one
+    lead = joinable.select(_leads(F.col("prefix"), F.col("sketch").isNotNull()).alias("leads"), at, "sketch").select(F.explode("leads").alias("pair"), "at", "sketch").repartition("pair")
+    earliest = lead.groupBy("pair").agg(F.min(F.struct("at", "sketch")).alias("o"), F.count("*").alias("drew")).where(F.col("drew") >= LED).drop("drew")
     found = lead.join(earliest, "pair").where(of_a_size(F.col("at.n"), F.col("o.at.n")) & of_a_sketch(F.col("sketch"), F.col("o.sketch"), F.col("at.n"), F.col("o.at.n")) & (F.col("o.at") < F.col("at")))
     found = found.select("at", F.struct(_unlike(F.col("sketch"), F.col("o.sketch")).alias("unlike"), F.col("o.at").alias("at")).alias("o")).groupBy("at").agg(F.min("o").alias("o"))
     both = [F.col(f"at.{c}").alias(c) for c in ("sid", "doc", "line")], [F.col("o.at.sid").alias("other"), F.col("o.at.doc").alias("odoc"), F.col("o.at.line").alias("oline")]
@@ -295,10 +306,13 @@ def similar_earlier(docs: DataFrame, lines: DataFrame, key: Callable[[Column], C
     crowd = crowd_rows(flagged(joinable.where("sketch IS NOT NULL").select("sid", "no", "n", "prefix", "plain", "sketch", at))).repartition("pair")
     # Two sets of a crowd share many neighbours: they meet at the smallest.
     smallest = F.array_min(F.array_intersect("pairs", "o.pairs")) == F.col("pair")
-    close = meet(crowd, (F.col("o.at") < F.col("at")) & ~is_found("about") & of_a_sketch(F.col("sketch"), F.col("o.sketch"), n, m)).where(smallest)
+    # one condition on both sides: apart from the other side's, it would make of one shuffle two that read all sets
+    seeks = F.when(F.col("o.at") < F.col("at"), ~is_found("about")).otherwise(False)
+    close = meet(crowd, seeks & of_a_sketch(F.col("sketch"), F.col("o.sketch"), n, m)).where(smallest)
     met = settle_table(met.union(close.select(F.least("no", "o.no"), F.greatest("no", "o.no"))).distinct(), "line-met")
     places = every_set.select("no", F.struct("doc", "line", "n", "sid", "prefix").alias("at"))
-    met = met.join(places.toDF("x", "p"), "x").join(places.toDF("y", "q"), "y").where(_can_be("p", "q", share))
+    # the few pairs are hashed, so the many sets need no sort
+    met = met.hint("shuffle_hash").join(places.toDF("x", "p"), "x").hint("shuffle_hash").join(places.toDF("y", "q"), "y").where(_can_be("p", "q", share))
     met = met.select(F.greatest("p", "q").alias("at"), F.struct(F.least("p", "q").alias("at")).alias("o"))
     more = met.select(*both[0], *both[1]).join(F.broadcast(decided) if few else decided, "sid", "left_anti")
     return every_set.select("sid", "doc", "line"), decided.union(check(settle_table(more, "line-pairs"))).distinct()
@@ -312,15 +326,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines, an empty one a single line; lines without a word stay. Lines of one id and number under
     different texts follow each other by their set's hash. Sets are told apart by 64-bit hashes of
     their words' keys; similar pairs are verified word by word. Other columns are not read."""
-    with _shuffles_removed(docs.sparkSession):
+    with _join_settings(docs.sparkSession):
         key = rarity(docs, share, text_col)
         lines = settle_table(document_lines(docs, key, share, id_col, text_col), "lines")
         sets, decided = similar_earlier(docs, lines, key, share, id_col, text_col)
-    kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line", F.lit(True).alias("kept"))
-    each = lines.select("doc_id", "text_hash", "line", "sid", _first().alias("doc")).join(kept, ["sid", "doc", "line"], "left")
-    gone = F.col("kept").isNull() & F.col("sid").isNotNull()
-    return each.groupBy("doc_id", "text_hash").agg(
-        (F.coalesce(F.max("line"), F.lit(-1)) + 1).alias("n_lines"), F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
+    kept = sets.join(decided, "sid", "left_anti").select("sid", "doc", "line")
+    of = ["doc_id", "text_hash"]
+    # Only lines that go are gathered by document; the lines of one lie side by side, so counting them moves a row each.
+    gone = lines.where("sid IS NOT NULL").select(*of, "line", "sid", _first().alias("doc")).join(kept, ["sid", "doc", "line"], "left_anti")
+    gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    counts = lines.groupBy(*of).agg((F.coalesce(F.max("line"), F.lit(-1)) + 1).alias("n_lines"))
+    return counts.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select(
+        *of, "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: Share = (4, 5)) -> DataFrame:

@@ -141,6 +141,22 @@ def test_lines_of_a_crowd(spark, monkeypatch):
     assert 10 <= sum(map(bool, expect.values())) <= 80 and {r.doc_id: r.removed for r in lines.removed_lines(docs).collect()} == expect
 
 
+def test_lines_few_sets_are_not_led(spark, monkeypatch):
+    """Only neighbours that many sets drew lead to lines read again before the join; the result is exact, null ids and repeated rows included."""
+    pairs, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    variant = lambda g, k: " ".join(f"new{g}_{k}" if j == k % 30 else f"w{g}_{j}" for j in range(30))
+    few = [(100 * k + g, f"{variant(g, k)}\n\n{variant(g, k)}\nown{g}_{k}") for g in range(20) for k in range(3)]
+    few += [(None, variant(3, 9)), (None, variant(3, 9)), (5000, None), (5001, "")]
+    many = [(k, variant(0, k)) for k in range(40)]
+    for rows in (few, many):
+        got = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "removed").collect()
+        expect = _brute_lines(rows)
+        assert sorted(map(repr, got)) == sorted(repr(type(got[0])(doc_id=d, n_lines=0 if t is None else t.count("\n") + 1, removed=gone)) for (d, t), gone in expect.items())
+        assert sum(map(len, expect.values())) > len(rows) / 2
+    assert pairs[0] == 0 < pairs[1] and pairs[2] > 0
+
+
 def _brute_passages(rows, span=50):
     seen, out, waiting = set(), collections.Counter(), []
     for doc, text in sorted(rows, key=lambda r: FIRST(r[0])):
